@@ -51,6 +51,11 @@ class Dimension:
     def key(self) -> str:
         return f"sk_{self.name}_id"
 
+    @property
+    def schema(self) -> T.StructType:
+        codes = [T.StructField(c, T.StringType()) for c in self.columns]
+        return T.StructType([T.StructField(self.key, T.LongType()), *codes])
+
 
 # The five dimensions of the gold layer.
 DIMENSIONS: tuple[Dimension, ...] = (
@@ -117,6 +122,14 @@ BY_NAME: Mapping[str, Dimension] = {d.name: d for d in DIMENSIONS}
 ENTITY_KEYS: tuple[str, ...] = tuple(d.key for d in DIMENSIONS)
 FACT = "fact_presupuesto"
 FACT_COLUMNS: tuple[str, ...] = (*ENTITY_KEYS, "anio", "fase", "monto")
+FACT_SCHEMA = T.StructType(
+    [
+        *[T.StructField(k, T.LongType()) for k in ENTITY_KEYS],
+        T.StructField("fase", T.StringType()),
+        T.StructField("monto", MONEY),
+        T.StructField("anio", T.IntegerType()),
+    ]
+)
 OWNER: Mapping[str, Dimension] = {c: d for d in DIMENSIONS for c in d.columns}
 
 

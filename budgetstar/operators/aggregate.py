@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from budgetstar.functions.money import as_double
-from budgetstar.model import BY_NAME, OWNER, Dimension, Star
+from budgetstar.model import BY_NAME, FACT_COLUMNS, OWNER, Dimension, Star
 
 ALL = "ALL"
 
@@ -150,11 +150,13 @@ def aggregate(
     where_columns: Sequence[str] = (),
     how: str = "left",
     guard: bool = True,
+    on_fact: Sequence[str] = (),
 ) -> DataFrame:
     """Measures per group, as exact decimals.
 
     ``by`` maps output names to fact or dimension columns; ``where`` holds extra predicates over
-    the dimension columns named in ``where_columns``; ``fact_where`` predicates reach the scan.
+    the dimension columns named in ``where_columns``; ``fact_where`` predicates reach the scan;
+    columns in ``on_fact`` were already attached to the fact and need no join.
 
     The fact is first summed per surrogate key (and year or phase where grouped). That step is
     combined inside each task, so a key that holds a third of all rows still sends one row per
@@ -163,8 +165,9 @@ def aggregate(
     """
     by, filters = dict(by or {}), filters or Filters()
     labels = filters.labels()
-    dim_columns = [c for c in (*by.values(), *labels, *where_columns) if c in OWNER]
-    unknown = [c for c in by.values() if c not in OWNER and c not in star.fact.columns]
+    attached = {*on_fact, *FACT_COLUMNS}
+    dim_columns = [c for c in (*by.values(), *labels, *where_columns) if c in OWNER and c not in attached]
+    unknown = [c for c in by.values() if c not in OWNER and c not in attached]
     if unknown:
         raise ValueError(f"Unknown grouping column: {', '.join(unknown)}")
 
@@ -174,7 +177,7 @@ def aggregate(
             fact = fact.where(condition)
 
     keys = [d.key for d in owners(dim_columns)]
-    fact_groups = [c for c in by.values() if c not in OWNER and c not in keys]
+    fact_groups = [c for c in by.values() if c in attached and c not in keys]
     parts = [p.alias(f"{n}__{k}") for n, m in measures.items() for k, p in m.parts().items()]
     partial = fact.groupBy(*keys, *fact_groups).agg(*parts)
 

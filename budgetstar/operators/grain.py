@@ -139,14 +139,12 @@ def rank_then_follow(
 ) -> DataFrame:
     """Yearly measures of a few ranked members.
 
-    ``winners`` comes from a limit, so its size is known when the plan is built: it is broadcast
-    and the fact is filtered where it is scanned.
+    ``winners`` comes from a limit, one row per key, so its size is known when the plan is built:
+    it is broadcast once and the fact is cut to those keys where it is scanned.
     """
     chosen = F.broadcast(winners.select(key, label))
-    fact = guard_year(star.fact, star.cutoff).join(F.broadcast(winners.select(key)), key, "left_semi")
-    yearly = aggregate(star.with_fact(fact), measures, {key: key, "anio": "anio"})
-    named = yearly.join(chosen, key)
-    return named.groupBy(label, "anio").agg(*[F.sum(m).alias(m) for m in measures])
+    fact = guard_year(star.fact, star.cutoff).join(chosen, key)
+    return aggregate(star.with_fact(fact), measures, {label: label, "anio": "anio"}, on_fact=[label])
 
 
 __all__ = [

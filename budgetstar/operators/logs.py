@@ -120,22 +120,42 @@ def _stage_report(totals: DataFrame, quantiles: Sequence[str]) -> DataFrame:
     ).orderBy("stage")
 
 
-def trace_stage_stats(log: DataFrame, percents: Sequence[int] = (50, 95), payload: str = "payload") -> DataFrame:
-    """Runs, failures and exact duration percentiles per stage.
+def _duration_band() -> Column:
+    """A band that grows with the duration, sixteen to a doubling: at most some 750 per stage."""
+    hundredths = F.greatest(F.col("duration_ms"), F.lit(0)).cast("double") * 100.0 + 1.0
+    return F.floor(F.log2(hundredths) * 16.0).cast("int")
+
+
+def duration_percentiles(stages: DataFrame, percents: Sequence[int]) -> DataFrame:
+    """Exact percentiles ``(stage, percent, duration_ms)``: the smallest value reaching the rank.
 
-    Durations are first counted per distinct value, so the ordered pass of a stage sees its
-    distinct durations (hundredths of a millisecond), never its runs.
+    Runs are counted per distinct duration first. Running totals over the few bands of a stage
+    tell which band holds a rank; only the durations of that band are put in order.
     """
-    stages = trace_stages(log, payload)
     counted = stages.where(F.col("duration_ms").isNotNull()).groupBy("stage", "duration_ms").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("band", _duration_band())
     by_stage = Window.partitionBy("stage")
-    upto = F.sum("n").over(by_stage.orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("upto", upto).withColumn("all", F.sum("n").over(by_stage))
-    names = [f"p{p}_ms" for p in percents]
-    quantiles = ranked.groupBy("stage").agg(
-        *[F.min(F.when(F.col("upto") * 100 >= F.col("all") * p, F.col("duration_ms"))).alias(q) for p, q in zip(percents, names)]
+    so_far = by_stage.orderBy("band").rowsBetween(Window.unboundedPreceding, 0)
+    bands = counted.groupBy("stage", "band").agg(F.sum("n").alias("inside"))
+    bands = bands.withColumn("upto", F.sum("inside").over(so_far)).withColumn("runs", F.sum("inside").over(by_stage))
+    bands = bands.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
+    rank = F.col("runs") * F.col("percent")
+    before = F.col("upto") - F.col("inside")
+    holding = bands.where((F.col("upto") * 100 >= rank) & (before * 100 < rank))
+    inside = Window.partitionBy("stage", "percent").orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(holding.select("stage", "band", "percent", before.alias("before"), rank.alias("rank")), ["stage", "band"])
+    reached = ranked.withColumn("upto", F.sum("n").over(inside) + F.col("before")).where(F.col("upto") * 100 >= F.col("rank"))
+    return reached.groupBy("stage", "percent").agg(F.min("duration_ms").alias("duration_ms"))
+
+
+def trace_stage_stats(log: DataFrame, percents: Sequence[int] = (50, 95), payload: str = "payload") -> DataFrame:
+    """Runs, failures and exact duration percentiles per stage."""
+    stages = trace_stages(log, payload)
+    names = {p: f"p{p}_ms" for p in percents}
+    values = duration_percentiles(stages, percents).groupBy("stage").agg(
+        *[F.max(F.when(F.col("percent") == p, F.col("duration_ms"))).alias(q) for p, q in names.items()]
     )
-    return _stage_report(_stage_totals(stages).join(quantiles, "stage", "left"), names)
+    return _stage_report(_stage_totals(stages).join(values, "stage", "left"), list(names.values()))
 
 
 def trace_stage_stats_approx(

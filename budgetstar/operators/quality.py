@@ -123,19 +123,30 @@ def duplicate_keys(wide: DataFrame, key: str = "key_value") -> DataFrame:
     return wide.groupBy(key).agg(F.count("*").alias("repetitions")).where(F.col("repetitions") > 1)
 
 
-def _repeated_rows(wide: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Rows that share their key. The count moves only keys; the rest of a record is read for the
-    few repeated ones. A key with very many copies is split by the adaptive skew handling of the
-    join and then combined inside tasks."""
-    return wide.select(key, *columns).join(duplicate_keys(wide, key).select(key), key, "left_semi")
+MAX_HOT_KEYS = 50_000
+
+
+def _per_repeated_key(wide: DataFrame, key: str, columns: Sequence[str], measures: Sequence[Column]) -> DataFrame:
+    """Measures per key that occurs more than once.
+
+    Counting moves keys only; whole records are read just for the repeated ones. Keys that hold
+    more than one row in 50,000 (so there are fewer than 50,000 of them, whatever the data) are
+    broadcast: their records are combined inside the scanning tasks, and a key with a third of all
+    rows sends one row per task. All other keys are small and meet their records in a plain join.
+    """
+    records, repeated = wide.select(key, *columns), duplicate_keys(wide, key)
+    rows = wide.agg(F.count("*")).scalar()
+    is_hot = F.col("repetitions") * MAX_HOT_KEYS > rows
+    hot = records.join(F.broadcast(repeated.where(is_hot).select(key)), key, "left_semi")
+    cold = records.join(repeated.where(~is_hot).select(key), key, "left_semi")
+    return hot.groupBy(key).agg(*measures).unionByName(cold.groupBy(key).agg(*measures))
 
 
 def duplicate_key_diff(wide: DataFrame, key: str = "key_value") -> DataFrame:
     """Per repeated key, the columns whose values differ between its rows (NULL counts as a value)."""
     columns = [c for c in wide.columns if c != key]
-    rows = _repeated_rows(wide, key, columns)
     extremes = [e for c in columns for e in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"), F.count(c).alias(f"n_{c}"))]
-    groups = rows.groupBy(key).agg(F.count("*").alias("repetitions"), *extremes)
+    groups = _per_repeated_key(wide, key, columns, [F.count("*").alias("repetitions"), *extremes])
 
     def differs(c: str) -> Column:
         partly_null = (F.col(f"n_{c}") > 0) & (F.col(f"n_{c}") < F.col("repetitions"))
@@ -150,7 +161,7 @@ def duplicate_key_diff(wide: DataFrame, key: str = "key_value") -> DataFrame:
 def duplicate_key_amounts(wide: DataFrame, key: str = "key_value") -> DataFrame:
     """Per repeated key, the amount columns with a positive sum."""
     cells = cell_columns(wide.columns)
-    sums = _repeated_rows(wide, key, cells).groupBy(key).agg(*[F.sum(c).alias(c) for c in cells])
+    sums = _per_repeated_key(wide, key, cells, [F.sum(c).alias(c) for c in cells])
     pairs = [e for c in cells for e in (F.lit(c), F.col(c))]
     long = sums.select(key, F.stack(F.lit(len(cells)), *pairs).alias("column_name", "total"))
     return long.where(F.col("total") > 0).select(key, "column_name", as_double(F.col("total")).alias("total"))

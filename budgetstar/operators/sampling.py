@@ -70,17 +70,33 @@ def _first_crossing(candidates: DataFrame, room: int) -> tuple[str, int] | None:
     return first[0], int(first[1])
 
 
-def sample_facts(fact: DataFrame, entities: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
+MAX_BROADCAST_ENTITIES = 1_000_000  # five BIGINT keys each, about 40 MB
+
+
+def _wanted(keys: DataFrame, target_rows: int) -> DataFrame:
+    """Chosen keys as a join side. A sample of ``target_rows`` facts has at most that many
+    entities, so a moderate target proves the list small; a larger one is left to its measured size."""
+    return F.broadcast(keys) if target_rows <= MAX_BROADCAST_ENTITIES else keys
+
+
+def sample_facts(
+    fact: DataFrame, entities: DataFrame, target_rows: int, years: Sequence[int] | None = None
+) -> DataFrame:
+    """Every fact of the chosen entities; with a moderate target the fact is filtered in place."""
     chosen = fact if years is None else fact.where(F.col("anio").isin(list(years)))
-    return chosen.join(entities.select(*ENTITY_KEYS), list(ENTITY_KEYS), "left_semi").select(*FACT_COLUMNS)
+    keys = _wanted(entities.select(*ENTITY_KEYS), target_rows)
+    return chosen.join(keys, list(ENTITY_KEYS), "left_semi").select(*FACT_COLUMNS)
 
 
-def sample_star(star: Star, entities: DataFrame, years: Sequence[int] | None = None) -> Star:
+def sample_star(
+    star: Star, entities: DataFrame, target_rows: int, years: Sequence[int] | None = None
+) -> Star:
     """Facts of the chosen entities and the dimension members they use."""
     dims = {
-        d.name: star.dim(d.name).join(entities.select(d.key).distinct(), d.key, "left_semi") for d in DIMENSIONS
+        d.name: star.dim(d.name).join(_wanted(entities.select(d.key).distinct(), target_rows), d.key, "left_semi")
+        for d in DIMENSIONS
     }
-    return Star(fact=sample_facts(star.fact, entities, years), dims=dims, cutoff=star.cutoff)
+    return Star(fact=sample_facts(star.fact, entities, target_rows, years), dims=dims, cutoff=star.cutoff)
 
 
 def sample_integrity(facts: DataFrame, entities: DataFrame) -> DataFrame:

@@ -521,13 +521,13 @@ def entity_sample(at: Layers) -> DataFrame:
 
 @query
 def sample_facts(at: Layers) -> DataFrame:
-    facts = sampling.sample_facts(at.star.fact, _entities(at), SAMPLE_YEARS)
+    facts = sampling.sample_facts(at.star.fact, _entities(at), SAMPLE_TARGET, SAMPLE_YEARS)
     return facts.withColumn("monto", as_double(F.col("monto")))
 
 
 @query
 def sample_dims(at: Layers) -> DataFrame:
-    sample = sampling.sample_star(at.star, _entities(at), SAMPLE_YEARS)
+    sample = sampling.sample_star(at.star, _entities(at), SAMPLE_TARGET, SAMPLE_YEARS)
     return _tagged(
         "table_name",
         {
@@ -540,19 +540,19 @@ def sample_dims(at: Layers) -> DataFrame:
 @query
 def sample_integrity(at: Layers) -> DataFrame:
     entities = _entities(at)
-    return sampling.sample_integrity(sampling.sample_facts(at.star.fact, entities, SAMPLE_YEARS), entities)
+    return sampling.sample_integrity(sampling.sample_facts(at.star.fact, entities, SAMPLE_TARGET, SAMPLE_YEARS), entities)
 
 
 @query
 def sample_gates(at: Layers) -> DataFrame:
-    sample = sampling.sample_star(at.star, _entities(at), SAMPLE_YEARS)
+    sample = sampling.sample_star(at.star, _entities(at), SAMPLE_TARGET, SAMPLE_YEARS)
     return quality.sample_gates(sample, SAMPLE_TARGET, region_threshold=20.0)
 
 
 @query
 def sample_manifest(at: Layers) -> DataFrame:
     entities = _entities(at)
-    sample = sampling.sample_star(at.star, entities, SAMPLE_YEARS)
+    sample = sampling.sample_star(at.star, entities, SAMPLE_TARGET, SAMPLE_YEARS)
     return sampling.sample_manifest(sample, entities, SAMPLE_TARGET, SAMPLE_YEARS)
 
 

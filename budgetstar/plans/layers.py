@@ -20,7 +20,7 @@ from budgetstar.operators.clean import clean_silver
 from budgetstar.operators.star import build_star, keyed_wide
 from budgetstar.sources import fixture
 from budgetstar.sources.parquet import read_layer, read_star, write_layer, write_star
-from budgetstar.sources.shared import shared_root
+from budgetstar.sources.shared import application_folder
 
 _lock = threading.RLock()
 _built: dict[tuple[str, str], str] = {}
@@ -28,10 +28,9 @@ _built: dict[tuple[str, str], str] = {}
 
 def _kept(spark: SparkSession, name: str, write: Callable[[str], object]) -> str | None:
     """Folder of a finished layer; a failed attempt leaves nothing that could be read as one."""
-    root = shared_root(spark)
+    root = application_folder(spark)
     if root is None:
         return None
-    root = f"{root}/budgetstar/{spark.sparkContext.applicationId}"
     key = (spark.sparkContext.applicationId, name)
     with _lock:
         if key not in _built:

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from budgetstar.model import DIMENSIONS, FACT, YEAR_CUTOFF, Star
+from budgetstar.model import DIMENSIONS, FACT, FACT_COLUMNS, FACT_SCHEMA, YEAR_CUTOFF, Star
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -27,12 +28,13 @@ def write_layer(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return table.sparkSession.read.parquet(path)
+    return read_layer(table.sparkSession, path)
 
 
-def read_layer(spark: SparkSession, path: str) -> DataFrame:
+def read_layer(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """With a schema no footer is read before the query runs."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"Parquet layer not found: {path}") from error
@@ -55,8 +57,8 @@ def write_star(star: Star, folder: str, mode: str = "errorifexists") -> Star:
 
 def read_star(spark: SparkSession, folder: str, cutoff: int = YEAR_CUTOFF) -> Star:
     """All six gold tables; a missing one raises FileNotFoundError before any query runs."""
-    fact = read_layer(spark, f"{folder}/{FACT}")
-    dims = {d.name: read_layer(spark, f"{folder}/{d.table}") for d in DIMENSIONS}
+    fact = read_layer(spark, f"{folder}/{FACT}", FACT_SCHEMA).select(*FACT_COLUMNS)
+    dims = {d.name: read_layer(spark, f"{folder}/{d.table}", d.schema) for d in DIMENSIONS}
     return Star(fact=fact, dims=dims, cutoff=cutoff)
 
 

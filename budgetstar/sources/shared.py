@@ -1,8 +1,9 @@
-"""The folder all executors can reach, and lineage cuts kept in it."""
+"""The folder all executors can reach, and intermediate tables kept in it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +24,20 @@ def shared_root(spark: SparkSession) -> str | None:
     return root
 
 
+def application_folder(spark: SparkSession) -> str | None:
+    root = shared_root(spark)
+    return None if root is None else f"{root}/budgetstar/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(table: DataFrame) -> DataFrame:
-    """A reliable checkpoint, so that several passes read one result and lost executors cost nothing."""
-    context = table.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        root = shared_root(table.sparkSession)
-        if root is None:
-            return table
-        context.setCheckpointDir(root)
-    return table.checkpoint()
+    """The table written to the shared folder and read back.
+
+    Several passes then read one result, only the columns and rows they need, and a lost executor
+    costs nothing. Without a shared folder the table stays as it is and is recomputed.
+    """
+    folder = application_folder(table.sparkSession)
+    if folder is None:
+        return table
+    path = f"{folder}/kept-{uuid.uuid4().hex[:12]}"
+    table.write.option("compression", "zstd").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
