@@ -176,6 +176,10 @@ def aggregate(
         if condition is not None:
             fact = fact.where(condition)
 
+    phases = {m.phase for m in measures.values()}
+    if not by and None not in phases:  # no group can vanish, so only the wanted phases are read
+        fact = fact.where(F.col("fase").isin(sorted(phases)))
+
     keys = [d.key for d in owners(dim_columns)]
     fact_groups = [c for c in by.values() if c in attached and c not in keys]
     parts = [p.alias(f"{n}__{k}") for n, m in measures.items() for k, p in m.parts().items()]
