@@ -126,44 +126,70 @@ def duplicate_keys(wide: DataFrame, key: str = "key_value") -> DataFrame:
 MAX_HOT_KEYS = 50_000
 
 
-def _per_repeated_key(wide: DataFrame, key: str, columns: Sequence[str], measures: Sequence[Column]) -> DataFrame:
-    """Measures per key that occurs more than once.
-
-    Counting moves keys only; whole records are read just for the repeated ones. Keys that hold
-    more than one row in 50,000 (so there are fewer than 50,000 of them, whatever the data) are
-    broadcast: their records are combined inside the scanning tasks, and a key with a third of all
-    rows sends one row per task. All other keys are small and meet their records in a plain join.
+def _repeated_records(wide: DataFrame, key: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Records whose key occurs more than once: those of hot keys and those of all others.
+
+    Counting moves keys only; whole records are read just for the repeated ones. Hot keys hold
+    more than one row in 50,000, so there are fewer than 50,000 of them whatever the data: they
+    are broadcast, their records stay where they are scanned and are combined there, and a key
+    with a third of all rows sends one row per task. All other keys are small and meet their
+    records in a plain join.
     """
     records, repeated = wide.select(key, *columns), duplicate_keys(wide, key)
     rows = wide.agg(F.count("*")).scalar()
     is_hot = F.col("repetitions") * MAX_HOT_KEYS > rows
     hot = records.join(F.broadcast(repeated.where(is_hot).select(key)), key, "left_semi")
     cold = records.join(repeated.where(~is_hot).select(key), key, "left_semi")
-    return hot.groupBy(key).agg(*measures).unionByName(cold.groupBy(key).agg(*measures))
+    return hot, cold
 
 
-def duplicate_key_diff(wide: DataFrame, key: str = "key_value") -> DataFrame:
-    """Per repeated key, the columns whose values differ between its rows (NULL counts as a value)."""
-    columns = [c for c in wide.columns if c != key]
-    extremes = [e for c in columns for e in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"), F.count(c).alias(f"n_{c}"))]
-    groups = _per_repeated_key(wide, key, columns, [F.count("*").alias("repetitions"), *extremes])
+_MASK_BITS = 62
 
-    def differs(c: str) -> Column:
-        partly_null = (F.col(f"n_{c}") > 0) & (F.col(f"n_{c}") < F.col("repetitions"))
-        return (F.col(f"n_{c}") > 0) & (partly_null | (F.col(f"lo_{c}") != F.col(f"hi_{c}")))
 
-    names = F.array_compact(F.array(*[F.when(differs(c), F.lit(c)) for c in sorted(columns)]))
+def _differing(records: DataFrame, key: str, columns: Sequence[str], hot: bool) -> DataFrame:
+    """Per key, the columns in which some record is unlike the smallest one.
+
+    Each record is compared with one representative of its key, the same one whenever a task is
+    run again; the outcome is a bit per column, so only two or so BIGINT masks per key are
+    combined, not a pair of extremes per column.
+    """
+    first = records.groupBy(key).agg(F.count("*").alias("repetitions"), F.min(F.struct(*columns)).alias("first"))
+    compared = records.join(F.broadcast(first) if hot else first, key)
+    bits = {c: (f"mask_{i // _MASK_BITS}", 1 << (i % _MASK_BITS)) for i, c in enumerate(columns)}
+    masks = sorted({m for m, _ in bits.values()})
+
+    def mask(name: str) -> Column:
+        unlike = [
+            F.when(F.col(c).eqNullSafe(F.col(f"first.{c}")), F.lit(0)).otherwise(F.lit(bit)).cast("bigint")
+            for c, (m, bit) in bits.items()
+            if m == name
+        ]
+        return reduce(lambda a, b: a.bitwiseOR(b), unlike).alias(name)
+
+    flags = compared.select(key, "repetitions", *[mask(m) for m in masks])
+    groups = flags.groupBy(key).agg(F.max("repetitions").alias("repetitions"), *[F.bit_or(m).alias(m) for m in masks])
+    names = [F.when(F.col(m).bitwiseAND(F.lit(bit)) != 0, F.lit(c)) for c, (m, bit) in bits.items()]
+    return groups.select(key, "repetitions", F.array_compact(F.array(*names)).alias("names"))
+
+
+def duplicate_key_diff(wide: DataFrame, key: str = "key_value") -> DataFrame:
+    """Per repeated key, the columns whose values differ between its rows (NULL counts as a value)."""
+    columns = sorted(c for c in wide.columns if c != key)
+    hot, cold = _repeated_records(wide, key, columns)
+    groups = _differing(hot, key, columns, True).unionByName(_differing(cold, key, columns, False))
     return groups.select(
-        key, "repetitions", F.size(names).alias("n_columns"), F.array_join(names, ",").alias("differing_columns")
+        key, "repetitions", F.size("names").alias("n_columns"), F.array_join("names", ",").alias("differing_columns")
     )
 
 
 def duplicate_key_amounts(wide: DataFrame, key: str = "key_value") -> DataFrame:
     """Per repeated key, the amount columns with a positive sum."""
     cells = cell_columns(wide.columns)
-    sums = _per_repeated_key(wide, key, cells, [F.sum(c).alias(c) for c in cells])
+    hot, cold = _repeated_records(wide, key, cells)
+    sums = [F.sum(c).alias(c) for c in cells]
+    totals = hot.groupBy(key).agg(*sums).unionByName(cold.groupBy(key).agg(*sums))
     pairs = [e for c in cells for e in (F.lit(c), F.col(c))]
-    long = sums.select(key, F.stack(F.lit(len(cells)), *pairs).alias("column_name", "total"))
+    long = totals.select(key, F.stack(F.lit(len(cells)), *pairs).alias("column_name", "total"))
     return long.where(F.col("total") > 0).select(key, "column_name", as_double(F.col("total")).alias("total"))
 
 

@@ -91,12 +91,17 @@ def sample_facts(
 def sample_star(
     star: Star, entities: DataFrame, target_rows: int, years: Sequence[int] | None = None
 ) -> Star:
-    """Facts of the chosen entities and the dimension members they use."""
+    """Facts of the chosen entities and the dimension members they use.
+
+    The facts, at most ``target_rows`` of them, are kept as a table: gates, counts and manifest
+    then read the sample and not the whole fact again.
+    """
     dims = {
         d.name: star.dim(d.name).join(_wanted(entities.select(d.key).distinct(), target_rows), d.key, "left_semi")
         for d in DIMENSIONS
     }
-    return Star(fact=sample_facts(star.fact, entities, target_rows, years), dims=dims, cutoff=star.cutoff)
+    facts = cut_lineage(sample_facts(star.fact, entities, target_rows, years))
+    return Star(fact=facts, dims=dims, cutoff=star.cutoff)
 
 
 def sample_integrity(facts: DataFrame, entities: DataFrame) -> DataFrame:

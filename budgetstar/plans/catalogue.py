@@ -290,7 +290,7 @@ def grain_aggregate_requests(at: Layers) -> DataFrame:
         frames[name] = groups.select(
             F.lit(grain).alias("grain"),
             (F.col("sector_nombre") if "sector_nombre" in columns else F.lit(None).cast("string")).alias("sector"),
-            (F.col("anio") if "anio" in columns else F.lit(None).cast("int")).alias("anio"),
+            (F.col("anio") if "anio" in columns else F.lit(None)).cast("string").alias("anio"),
             as_double(F.col("pim")).alias("pim"),
         )
     return _tagged("request", frames)

@@ -206,10 +206,10 @@ ORACLES["measure_catalog"] = on_flat(
       FROM open_flat GROUP BY source, anio)"""
 )
 ORACLES["grain_aggregate"] = on_flat(
-    f"""SELECT 'scalar' AS request, 'scalar' AS grain, CAST(NULL AS VARCHAR) AS sector, CAST(NULL AS INTEGER) AS anio, {dbl(PIM)} AS pim FROM open_flat
-    UNION ALL SELECT 'year', 'year-level', NULL, anio, {dbl(PIM)} FROM open_flat GROUP BY anio
+    f"""SELECT 'scalar' AS request, 'scalar' AS grain, CAST(NULL AS VARCHAR) AS sector, CAST(NULL AS VARCHAR) AS anio, {dbl(PIM)} AS pim FROM open_flat
+    UNION ALL SELECT 'year', 'year-level', NULL, CAST(anio AS VARCHAR), {dbl(PIM)} FROM open_flat GROUP BY anio
     UNION ALL SELECT 'sector', 'institution-level', sector, NULL, {dbl(PIM)} FROM open_flat GROUP BY sector
-    UNION ALL SELECT 'sector by year', 'institution_year-level', sector, anio, {dbl(PIM)} FROM open_flat GROUP BY sector, anio"""
+    UNION ALL SELECT 'sector by year', 'institution_year-level', sector, CAST(anio AS VARCHAR), {dbl(PIM)} FROM open_flat GROUP BY sector, anio"""
 )
 
 # --- dashboard -----------------------------------------------------------------------------------
