@@ -24,7 +24,7 @@ class Filters:
     department: str | None = None
 
     def labels(self) -> dict[str, str]:
-        """Label column to wanted value; stored labels are upper case, so any case matches."""
+        """Label column to wanted value in upper case; labels are compared in upper case too."""
         wanted = {
             "nivel_gobierno_nombre": self.government_level,
             "sector_nombre": self.sector,
@@ -188,7 +188,7 @@ def aggregate(
     if dim_columns:
         joined, _ = join_members(partial, star, dim_columns, how)
         for column, value in labels.items():
-            joined = joined.where(F.col(column) == value)
+            joined = joined.where(F.upper(column) == value)
         for condition in where:
             joined = joined.where(condition)
         merged = [p.alias(f"{n}__{k}") for n, m in measures.items() for k, p in m.merged(n).items()]

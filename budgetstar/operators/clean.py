@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from budgetstar.functions.text import fold_accents, is_blank, normalise_name, upper_clean
-from budgetstar.model import MONEY, cell_columns, split_cell, text_columns
+from budgetstar.model import MONEY, split_cell, text_columns
 
 # Sector given to records without one, in the upper case of all cleaned text.
 DEFAULT_SECTOR = "GL"
@@ -65,16 +65,3 @@ def has_amount(columns: Sequence[str]):
 def union_layers(parts: Sequence[DataFrame]) -> DataFrame:
     """Tables written at different times; a column missing in one of them is NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-__all__ = [
-    "cell_columns",
-    "clean_columns",
-    "clean_fold_accents",
-    "clean_silver",
-    "has_amount",
-    "impute_sector",
-    "present",
-    "rename_all",
-    "union_layers",
-]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from budgetstar.model import DIMENSIONS, FACT, FACT_COLUMNS, Star
-from budgetstar.operators.aggregate import Filters, Measure, aggregate, guard_year, join_members, top
+from budgetstar.operators.aggregate import Filters, Measure, aggregate, guard_year
 
 # The eight dimension families and the columns that belong to each (code and label).
 FAMILY_CODES = {
@@ -145,21 +145,3 @@ def rank_then_follow(
     chosen = F.broadcast(winners.select(key, label))
     fact = guard_year(star.fact, star.cutoff).join(chosen, key)
     return aggregate(star.with_fact(fact), measures, {label: label, "anio": "anio"}, on_fact=[label])
-
-
-__all__ = [
-    "AGGREGATES",
-    "AmbiguousColumnError",
-    "GrainError",
-    "MixedGrainError",
-    "UngroupedColumnError",
-    "UnknownColumnError",
-    "UnknownTableError",
-    "check_request",
-    "grain_aggregate",
-    "grain_of",
-    "join_members",
-    "rank_then_follow",
-    "resolve",
-    "top",
-]

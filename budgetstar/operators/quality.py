@@ -8,11 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from budgetstar.functions.money import WIDE_MONEY, as_double, rounded_pct
+from budgetstar.functions.money import as_double, rounded_pct
 from budgetstar.model import (
-    ENTITY_KEYS,
     EXECUTED,
-    FACT,
     FACT_COLUMNS,
     PLANNED,
     Star,
@@ -367,30 +365,3 @@ def gate_failures(gates: DataFrame, target_rows: int) -> list[str]:
         else:
             messages.append(f"Column '{row.scope}' has {int(row.value):,} null values.")
     return messages
-
-
-__all__ = [
-    "ENTITY_KEYS",
-    "FACT",
-    "WIDE_MONEY",
-    "duplicate_key_amounts",
-    "duplicate_key_diff",
-    "duplicate_keys",
-    "execution_rates",
-    "fact_year_range",
-    "gate_failures",
-    "key_uniqueness",
-    "layer_storage",
-    "layer_total",
-    "preview",
-    "reconcile_by_year_phase",
-    "reconcile_total",
-    "region_pim_share",
-    "require_no_drift",
-    "require_reconciled",
-    "run_drift",
-    "sample_gates",
-    "snapshot",
-    "table_audit",
-    "volumetrics",
-]

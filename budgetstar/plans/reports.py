@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from budgetstar.functions.money import as_double, billions, percent_text, short_number
+from budgetstar.functions.money import as_double, billions, percent_text
 from budgetstar.functions.text import is_blank
 from budgetstar.model import BY_NAME, EXECUTED, PLANNED, Star
-from budgetstar.operators.aggregate import Measure, aggregate, guard_year, phase_total, top
+from budgetstar.operators.aggregate import Measure, aggregate, guard_year, top
 
 
 def _executed_in(year: int) -> list[Column]:
@@ -108,7 +108,7 @@ def centralization(star: Star, year: int, department: str = "LIMA", limit: int =
         where=_labelled(label),
         how="inner",
     )
-    central = F.when(F.col("department") == department.strip().upper(), F.col("total")).otherwise(F.lit(0))
+    central = F.when(F.upper("department") == department.strip().upper(), F.col("total")).otherwise(F.lit(0))
     groups = cells.groupBy("sector").agg(F.sum("total").alias("total"), F.sum(central).alias("central"))
     return top(groups, "total", limit, "sector").select(
         F.col("sector").alias("government_sector"),
@@ -116,14 +116,3 @@ def centralization(star: Star, year: int, department: str = "LIMA", limit: int =
         as_double(billions(F.col("central"))).alias("lima_devengado_billions"),
         percent_text(F.col("central"), F.col("total")).alias("lima_centralization_rate"),
     )
-
-
-__all__ = [
-    "centralization",
-    "phase_total",
-    "pim_growth",
-    "sector_projects",
-    "sector_projects_approx",
-    "short_number",
-    "top_departments",
-]

@@ -10,15 +10,17 @@ from pyspark.sql.types import StructType
 
 from budgetstar.model import DIMENSIONS, FACT, FACT_COLUMNS, FACT_SCHEMA, YEAR_CUTOFF, Star
 
+SMALL_SCAN_SPLITS = 64
+
 
 def spread(table: DataFrame) -> DataFrame:
-    """Deal a scan with fewer splits than cores out over all cores.
+    """Deal a scan of few splits out over more tasks.
 
-    Small files (one row group each) would otherwise keep a single core busy. Input with enough
-    splits, which is every large input, comes back unchanged: no shuffle at scale.
+    A small file is often one row group and would keep a single core busy. Only inputs of fewer
+    than 64 splits (some gigabytes) are moved; anything larger comes back unchanged.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    tasks = min(SMALL_SCAN_SPLITS, table.sparkSession.sparkContext.defaultParallelism)
+    return table if table.rdd.getNumPartitions() >= tasks else table.repartition(tasks)
 
 
 def write_layer(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from budgetstar.sources.bronze import scan_csv, strip_headers
+from budgetstar.sources.bronze import strip_headers
 
 
 def ingest_incremental(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
@@ -26,6 +26,3 @@ def ingest_incremental(spark: SparkSession, source: str, target: str, checkpoint
         .trigger(availableNow=True)
         .start()
     )
-
-
-__all__ = ["ingest_incremental", "scan_csv"]

@@ -5,7 +5,6 @@ from oracles.prefix import (
     KEY_LIST,
     KEYS,
     PHASES,
-    SOURCES,
     TEXT_COLUMNS,
     YEARS,
     cell,
@@ -609,5 +608,3 @@ ORACLES["trace_failures"] = """SELECT failure_type, count(*) AS queries, count(D
       THEN CASE event_id % 3 WHEN 0 THEN 'SQL_SYNTAX_ERROR' WHEN 1 THEN 'MISSING_GROUP_BY' ELSE 'DATA_JOIN_MISMATCH' END
     WHEN event_id % 4 = 0 THEN 'EMPTY_RESULT_SET' END AS failure_type FROM events)
 WHERE failure_type IS NOT NULL GROUP BY failure_type"""
-
-__all__ = ["ORACLES", "SOURCES"]
