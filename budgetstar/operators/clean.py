@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from budgetstar.functions.text import fold_accents, is_blank, normalise_name, upper_clean
 from budgetstar.model import MONEY, split_cell, text_columns
@@ -31,12 +32,14 @@ def clean_columns(table: DataFrame) -> DataFrame:
 def clean_silver(table: DataFrame) -> DataFrame:
     """Normal names, exact amounts (unreadable text becomes NULL), stripped upper-case text."""
     named = clean_columns(table)
-    return named.select(
-        *[
-            (F.col(c).try_cast(MONEY) if split_cell(c) else upper_clean(F.col(c))).alias(c)
-            for c in named.columns
-        ]
-    )
+
+    def cleaned(field: StructField) -> Column:
+        value = F.col(field.name)
+        if not split_cell(field.name):
+            return upper_clean(value).alias(field.name)
+        return value if field.dataType == MONEY else value.try_cast(MONEY).alias(field.name)
+
+    return named.select(*[cleaned(f) for f in named.schema.fields])
 
 
 def clean_fold_accents(table: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -52,12 +55,12 @@ def impute_sector(table: DataFrame) -> DataFrame:
     )
 
 
-def present(amount: str = "monto"):
+def present(amount: str = "monto") -> Column:
     """Amounts that count: neither NULL nor zero."""
     return F.col(amount).isNotNull() & (F.col(amount) != 0)
 
 
-def has_amount(columns: Sequence[str]):
+def has_amount(columns: Sequence[str]) -> Column:
     """True for records that leave at least one row in the long table."""
     return reduce(lambda a, b: a | b, [F.coalesce(F.col(c) != 0, F.lit(False)) for c in columns])
 
