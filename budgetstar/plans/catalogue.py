@@ -51,9 +51,18 @@ ONE_YEAR = Filters(year=YEAR)
 QUERIES: dict[str, Query] = {}
 
 
+def named(name: str) -> Callable:
+    """Register a query under a name that an import already uses."""
+
+    def register(build: Callable[[Layers], DataFrame]) -> Callable[[Layers], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: build(Layers(spark, sf_dir))
+        return build
+
+    return register
+
+
 def query(build: Callable[[Layers], DataFrame]) -> Callable[[Layers], DataFrame]:
-    QUERIES[build.__name__] = lambda spark, sf_dir: build(Layers(spark, sf_dir))
-    return build
+    return named(build.__name__)(build)
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
@@ -188,15 +197,12 @@ def register_star(at: Layers) -> DataFrame:
 # --- predicates and measures ---------------------------------------------------------------------
 
 
-@query
+@named("guard_year")
 def guard_year_rows(at: Layers) -> DataFrame:
     kept = guard_year(at.star.fact, at.star.cutoff)
     return kept.groupBy("anio", "fase").agg(F.count("*").alias("n"), as_double(F.sum("monto")).alias("total"))
 
 
-QUERIES["guard_year"] = QUERIES.pop("guard_year_rows")
-
-
 @query
 def filtered_kpis(at: Layers) -> DataFrame:
     gold = at.star
@@ -239,7 +245,7 @@ def join_pruning(at: Layers) -> DataFrame:
     return groups.select("anio", *[as_double(F.col(c)).alias(c) for c in PLANNED_AND_EXECUTED])
 
 
-@query
+@named("currency_label")
 def currency_label_amounts(at: Layers) -> DataFrame:
     totals = aggregate(at.star, {"amount": phase_total("pim")}, {"name": "sector_nombre"})
     largest = aggregate(at.star, {"amount": Measure("max")}, {"name": "sector_nombre"})
@@ -247,10 +253,7 @@ def currency_label_amounts(at: Layers) -> DataFrame:
     return both.select("kind", "name", as_double(F.col("amount")).alias("amount"), currency_label(F.col("amount")).alias("label"))
 
 
-QUERIES["currency_label"] = QUERIES.pop("currency_label_amounts")
-
-
-@query
+@named("execution_tier")
 def execution_tier_groups(at: Layers) -> DataFrame:
     groups = aggregate(
         at.star, {"part": phase_total("girado"), "whole": phase_total("pim")}, {"name": "ejecutora_nombre"}, ONE_YEAR
@@ -259,9 +262,6 @@ def execution_tier_groups(at: Layers) -> DataFrame:
     return rated.select("*", execution_tier(F.col("rate")).alias("tier"), target_gap(F.col("rate")).alias("target_gap"))
 
 
-QUERIES["execution_tier"] = QUERIES.pop("execution_tier_groups")
-
-
 @query
 def measure_catalog(at: Layers) -> DataFrame:
     """Every aggregate of the request interface at one grain."""
@@ -280,7 +280,7 @@ def measure_catalog(at: Layers) -> DataFrame:
     )
 
 
-@query
+@named("grain_aggregate")
 def grain_aggregate_requests(at: Layers) -> DataFrame:
     requests = {"scalar": [], "year": ["anio"], "sector": ["i.sector_nombre"], "sector by year": ["sector_nombre", "f.anio"]}
     frames = {}
@@ -296,9 +296,6 @@ def grain_aggregate_requests(at: Layers) -> DataFrame:
     return _tagged("request", frames)
 
 
-QUERIES["grain_aggregate"] = QUERIES.pop("grain_aggregate_requests")
-
-
 # --- dashboard -----------------------------------------------------------------------------------
 
 
