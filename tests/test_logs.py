@@ -150,7 +150,10 @@ def test_percentiles_against_sorting(spark, seed):
     for p in (50, 90, 95, 100):
         assert row[f"p{p}_ms"] == ranked[math.ceil(len(values) * p / 100) - 1]
     assert row.avg_ms == pytest.approx(sum(values) / len(values))
-    assert trace_stage_stats_approx(log).first().p50_ms in values
+    near, slack = trace_stage_stats_approx(log, (50, 95)).first(), 1  # ranks, with so few values
+    for p in (50, 95):
+        rank = math.ceil(len(values) * p / 100) - 1
+        assert ranked[max(0, rank - slack)] <= near[f"p{p}_ms"] <= ranked[min(len(ranked) - 1, rank + slack)]
 
 
 def test_stage_without_durations_and_broken_lines(spark):
