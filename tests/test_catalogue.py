@@ -8,11 +8,12 @@ import duckdb
 import pytest
 from conftest import SMALL
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from budgetstar.operators.aggregate import Filters
 from budgetstar.plans import dashboard, reports
+from budgetstar.plans.catalogue import QUERIES
+from oracles import ORACLES as TWINS
 
-QUERIES, TWINS = queries(), oracle_sql()
 WITHOUT_TWIN = {"report_sector_projects_approx", "layer_storage", "trace_stage_stats_approx"}
 
 
