@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,14 +116,26 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, key: str = "ite
     for number in range(count):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == number)
         block = build_block(((r.item, r.text.encode("utf-8", "surrogatepass")) for r in part.toLocalIterator()), window)
-        blocks.append(spark.sparkContext.broadcast(block))
+        blocks.append(spark.sparkContext.broadcast(cloudpickle.dumps(block)))
     return blocks
 
 
-def _marked(blocks: list[Broadcast], texts: list[bytes]) -> list[tuple[list[bytes], np.ndarray, set[str]]]:
+class Blocks:
+    """The blocks in a task: a single one stays unpacked, of several only one is at a time."""
+
+    def __init__(self, blocks: list[Broadcast]) -> None:
+        self.blocks, self.held = blocks, (-1, None)
+
+    def __iter__(self) -> Iterator[Block]:
+        for number, block in enumerate(self.blocks):
+            if self.held[0] != number:
+                self.held = number, cloudpickle.loads(block.value)
+            yield self.held[1]
+
+
+def _marked(blocks: Blocks, texts: list[bytes]) -> list[tuple[list[bytes], np.ndarray, set[str]]]:
     marked = [(w, np.zeros(len(w), bool), set()) for w in map(words, texts)]
-    for block in blocks:
-        index = block.value
+    for index in blocks:
         for listed, covered, items in marked:
             hits(index, listed, covered, items)
     return marked
@@ -135,10 +147,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str =
     docs = plain(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Blocks(blocks)
         for batch in pieces(batches):
             rows = [
                 (len(w), int(c.sum()), len(i), hashlib.sha256(",".join(sorted(i)).encode()).hexdigest())
-                for w, c, i in _marked(blocks, texts_of(batch.column("text")))
+                for w, c, i in _marked(held, texts_of(batch.column("text")))
             ]
             n_words, n_hit, n_items, digest = zip(*rows)
             yield pa.RecordBatch.from_pydict(
@@ -163,8 +176,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     blocks = benchmark_blocks(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Blocks(blocks)
         for batch in pieces(batches):
-            clean = [not c.any() for _, c, _ in _marked(blocks, texts_of(batch.column(text)))]
+            clean = [not c.any() for _, c, _ in _marked(held, texts_of(batch.column(text)))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -183,12 +197,13 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text:
         return b"".join([*kept, raw[edge:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Blocks(blocks)
         for batch in pieces(batches):
             column = batch.column(text)
             raw = texts_of(column)
             new = [
                 None if missing else cut(t, c).decode("utf-8", "surrogatepass") if c.any() else t.decode("utf-8", "surrogatepass")
-                for t, (_, c, _), missing in zip(raw, _marked(blocks, raw), column.is_null().to_pylist())
+                for t, (_, c, _), missing in zip(raw, _marked(held, raw), column.is_null().to_pylist())
             ]
             yield batch.set_column(batch.schema.get_field_index(text), batch.schema.field(text), pa.array(new, column.type))
 
