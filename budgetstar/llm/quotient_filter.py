@@ -14,7 +14,7 @@ import struct
 import numpy as np
 
 REMAINDER_BITS = 32
-_HEAD = struct.Struct("<QQQ")
+_HEAD = "<QQQ"
 
 
 def merge_sorted(quotients: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
@@ -48,13 +48,13 @@ def encode(quotients: np.ndarray, remainders: np.ndarray, counts: np.ndarray) ->
         last = np.r_[quotients[1:] != quotients[:-1], True]
         runend[(start + digits)[last]] = True
     bits = b"".join(np.packbits(x).tobytes() for x in (occupied, runend, digit))
-    return _HEAD.pack(base, size, total) + bits + slots.astype("<u4").tobytes()
+    return struct.pack(_HEAD, base, size, total) + bits + slots.astype("<u4").tobytes()
 
 
 def decode(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Quotients, remainders and counts, sorted."""
-    base, size, total = _HEAD.unpack_from(data)
-    at, marks = _HEAD.size, []
+    base, size, total = struct.unpack_from(_HEAD, data)
+    at, marks = struct.calcsize(_HEAD), []
     for n in (size, total, total):
         step = (n + 7) // 8
         marks.append(np.unpackbits(np.frombuffer(data, np.uint8, step, at), count=n).astype(bool))

@@ -31,7 +31,7 @@ from budgetstar.sources.shared import application_folder, cut_lineage
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE, CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_IDS = 1 << 18  # ids after which a frame is closed; a longer document has a frame of its own
 LEVEL = 3
-_SEEK, _INDEX, _FOOT, _SKIP = struct.Struct("<III"), struct.Struct("<qBIQ"), struct.Struct("<IBI"), struct.Struct("<II")
+_SEEK, _INDEX, _FOOT, _SKIP = "<III", "<qBIQ", "<IBI", "<II"  # layouts, for struct
 
 
 class CorruptFrame(ValueError):
@@ -78,11 +78,11 @@ class Writer:
 
     def close(self) -> None:
         self.flush()
-        index = b"".join(_INDEX.pack(*x) for x in self.index)
+        index = b"".join(struct.pack(_INDEX, *x) for x in self.index)
         index += struct.pack("<I", zlib.crc32(index))
-        self.out.write(_SKIP.pack(SKIPPABLE_INDEX, len(index)) + index)
-        table = b"".join(_SEEK.pack(*x) for x in self.seek) + _FOOT.pack(len(self.seek), CHECKSUMS, SEEKABLE)
-        self.out.write(_SKIP.pack(SKIPPABLE_SEEK, len(table)) + table)
+        self.out.write(struct.pack(_SKIP, SKIPPABLE_INDEX, len(index)) + index)
+        table = b"".join(struct.pack(_SEEK, *x) for x in self.seek) + struct.pack(_FOOT, len(self.seek), CHECKSUMS, SEEKABLE)
+        self.out.write(struct.pack(_SKIP, SKIPPABLE_SEEK, len(table)) + table)
 
 
 @dataclass
@@ -103,18 +103,18 @@ class Reader:
     def __init__(self, source) -> None:
         self.source = source
         end = source.size()
-        count, flags, magic = _FOOT.unpack(self._bytes(end - _FOOT.size, _FOOT.size))
+        count, flags, magic = struct.unpack(_FOOT, self._bytes(end - struct.calcsize(_FOOT), struct.calcsize(_FOOT)))
         if magic != SEEKABLE or flags != CHECKSUMS:
             raise CorruptFrame("No seek table with checksums at the end of the file")
-        seek_at = end - _FOOT.size - count * _SEEK.size - _SKIP.size
-        if _SKIP.unpack(self._bytes(seek_at, _SKIP.size)) != (SKIPPABLE_SEEK, count * _SEEK.size + _FOOT.size):
+        seek_at = end - struct.calcsize(_FOOT) - count * struct.calcsize(_SEEK) - struct.calcsize(_SKIP)
+        if struct.unpack(_SKIP, self._bytes(seek_at, struct.calcsize(_SKIP))) != (SKIPPABLE_SEEK, count * struct.calcsize(_SEEK) + struct.calcsize(_FOOT)):
             raise CorruptFrame("The seek table has another size than its footer says")
-        seek = list(_SEEK.iter_unpack(self._bytes(seek_at + _SKIP.size, count * _SEEK.size)))
-        index = self._bytes(seek_at - count * _INDEX.size - 4, count * _INDEX.size + 4)
+        seek = list(struct.iter_unpack(_SEEK, self._bytes(seek_at + struct.calcsize(_SKIP), count * struct.calcsize(_SEEK))))
+        index = self._bytes(seek_at - count * struct.calcsize(_INDEX) - 4, count * struct.calcsize(_INDEX) + 4)
         if zlib.crc32(index[:-4]) != struct.unpack("<I", index[-4:])[0]:
             raise CorruptFrame("The document index does not match its checksum")
         self.frames, at, start = [], 0, 0
-        for (packed, size, checksum), (first, missing, docs, ids) in zip(seek, _INDEX.iter_unpack(index[:-4])):
+        for (packed, size, checksum), (first, missing, docs, ids) in zip(seek, struct.iter_unpack(_INDEX, index[:-4])):
             self.frames.append(Frame(at, packed, size, checksum, None if missing else first, docs, ids, start))
             at, start = at + packed, start + ids
         self.opened = 0

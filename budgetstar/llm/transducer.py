@@ -19,7 +19,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from functools import cache
 
 import regex
 
@@ -34,7 +33,6 @@ _RESET = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 _LAST = regex.compile(f"(?r)(?<=[^{WHITE}])(?=[{WHITE}])")
 
 
-@cache
 def byte_alphabet() -> dict[str, int]:
     """Public byte-level alphabet: printable characters stand for themselves, other bytes for 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
