@@ -24,11 +24,6 @@ def surrogate_key(columns: Sequence[str]) -> Column:
     return hash60(key_text(columns))
 
 
-def fast_key(columns: Sequence[str]) -> Column:
-    """64-bit key that stays in one codegen stage; use where no other engine must rebuild it."""
-    return F.xxhash64(key_text(columns))
-
-
 def shuffled_order(columns: Sequence[str]) -> Column:
     """Text that orders rows in a repeatable pseudo-random way."""
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))

@@ -12,6 +12,8 @@ from budgetstar.functions.money import as_double
 from budgetstar.model import BY_NAME, FACT_COLUMNS, OWNER, Dimension, Star
 
 ALL = "ALL"
+# Columns of the fact with few values by the model: phases and fiscal years.
+LISTED_COLUMNS = ("fase", "anio")
 
 
 @dataclass(frozen=True)
@@ -55,7 +57,8 @@ class Measure:
     """An aggregate split into a part per key tuple and a merge of those parts.
 
     All parts are exact (decimal sums, counts, extremes), so the result does not depend on how
-    rows are spread over tasks.
+    rows are spread over tasks. Variance and deviation have no parts that merge without
+    cancellation in columns; ``aggregate`` lets Spark merge their moments over the joined facts.
     """
 
     function: str = "sum"
@@ -78,18 +81,18 @@ class Measure:
             "min": {"lo": F.min(value)},
             "max": {"hi": F.max(value)},
             "avg": {"s": total, "n": rows},
-            "variance": {"s": total, "q": F.sum(value * value), "n": rows},
-            "stddev": {"s": total, "q": F.sum(value * value), "n": rows},
+            "variance": {"v": F.var_samp(value)},
+            "stddev": {"v": F.var_samp(value)},
             "array_agg": {"a": F.collect_set(value)},
         }
         if self.function not in choices:
             raise ValueError(f"Unknown aggregate: {self.function}")
-        if self.function == "array_agg" and self.column not in ("fase", "anio"):
-            raise ValueError("array_agg is limited to fase and anio, whose values are few and known")
+        if self.function == "array_agg" and self.column not in LISTED_COLUMNS:
+            raise ValueError(f"array_agg is limited to {', '.join(LISTED_COLUMNS)}, whose values are few")
         return choices[self.function]
 
     def merged(self, name: str) -> dict[str, Column]:
-        merge = {"s": F.sum, "q": F.sum, "n": F.sum, "lo": F.min, "hi": F.max}
+        merge = {"s": F.sum, "n": F.sum, "lo": F.min, "hi": F.max}
         return {
             p: F.array_distinct(F.flatten(F.collect_set(f"{name}__a"))) if p == "a" else merge[p](f"{name}__{p}")
             for p in self.parts()
@@ -110,10 +113,11 @@ class Measure:
         rows = as_double(part("n"))
         if self.function == "avg":
             return F.when(part("n") > 0, as_double(part("s")) / rows)
-        total = as_double(part("s"))
-        spread = (as_double(part("q")) - total * total / rows) / (rows - 1.0)
-        variance = F.when(part("n") > 1, F.greatest(spread, F.lit(0.0)))
-        return variance if self.function == "variance" else F.sqrt(variance)
+        return part("v") if self.function == "variance" else F.sqrt(part("v"))
+
+    @property
+    def mergeable(self) -> bool:
+        return self.function not in ("variance", "stddev")
 
 
 def phase_total(phase: str) -> Measure:
@@ -140,6 +144,20 @@ def join_members(
     return table, used
 
 
+def _restrict(fact: DataFrame, star: Star, labels: Mapping[str, str]) -> DataFrame:
+    """Facts of the members that carry the wanted labels.
+
+    Members are filtered first, and the fact is cut to their keys where it is scanned, so rows the
+    filter drops are never aggregated or moved.
+    """
+    for dimension in owners(list(labels)):
+        members = star.dim(dimension.name)
+        for column in (c for c in labels if OWNER[c].name == dimension.name):
+            members = members.where(F.upper(column) == labels[column])
+        fact = fact.join(members.select(dimension.key), dimension.key, "left_semi")
+    return fact
+
+
 def aggregate(
     star: Star,
     measures: Mapping[str, Measure],
@@ -180,19 +198,26 @@ def aggregate(
     if not by and None not in phases:  # no group can vanish, so only the wanted phases are read
         fact = fact.where(F.col("fase").isin(sorted(phases)))
 
+    if labels and how != "full":
+        fact = _restrict(fact, star, {c: v for c, v in labels.items() if c in dim_columns})
     keys = [d.key for d in owners(dim_columns)]
     fact_groups = [c for c in by.values() if c in attached and c not in keys]
     parts = [p.alias(f"{n}__{k}") for n, m in measures.items() for k, p in m.parts().items()]
-    partial = fact.groupBy(*keys, *fact_groups).agg(*parts)
+    in_parts = all(m.mergeable for m in measures.values())
+    partial = fact.groupBy(*keys, *fact_groups).agg(*parts) if in_parts else fact
 
     if dim_columns:
-        joined, _ = join_members(partial, star, dim_columns, how)
+        partial, _ = join_members(partial, star, dim_columns, how)
         for column, value in labels.items():
-            joined = joined.where(F.upper(column) == value)
+            partial = partial.where(F.upper(column) == value)
         for condition in where:
-            joined = joined.where(condition)
+            partial = partial.where(condition)
+    groups = [F.col(c).alias(o) for o, c in by.items()]
+    if not in_parts:
+        partial = partial.groupBy(*groups).agg(*parts)
+    elif dim_columns:
         merged = [p.alias(f"{n}__{k}") for n, m in measures.items() for k, p in m.merged(n).items()]
-        partial = joined.groupBy(*[F.col(c).alias(o) for o, c in by.items()]).agg(*merged)
+        partial = partial.groupBy(*groups).agg(*merged)
     else:
         partial = partial.withColumnsRenamed({c: o for o, c in by.items()})
     return partial.select(*by, *[m.result(n).alias(n) for n, m in measures.items()])
@@ -207,9 +232,3 @@ def top(table: DataFrame, measure: str, limit: int | None, *ties: str, descendin
 
 def doubles(table: DataFrame, *columns: str) -> DataFrame:
     return table.withColumns({c: as_double(F.col(c)) for c in columns})
-
-
-def join_plan(columns: Sequence[str], filters: Filters | None = None) -> dict[str, bool]:
-    """Which dimensions a request touches; everything else is never read."""
-    used = {d.name for d in owners([*columns, *(filters or Filters()).labels()])}
-    return {name: name in used for name in BY_NAME}

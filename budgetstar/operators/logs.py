@@ -13,20 +13,43 @@ from budgetstar.functions.text import stripped
 
 # Words no logged statement may contain outside literals and comments.
 FORBIDDEN_WORDS = (
-    "INSERT, UPDATE, DELETE, DROP, ALTER, CREATE, TRUNCATE, EXEC, EXECUTE, CALL, MERGE, REPLACE, "
-    "GRANT, REVOKE, ATTACH, DETACH, LOAD, INSTALL, COPY, IMPORT, EXPORT, RENAME"
-).split(", ")
+    "INSERT",
+    "UPDATE",
+    "DELETE",
+    "DROP",
+    "ALTER",
+    "CREATE",
+    "TRUNCATE",
+    "EXEC",
+    "EXECUTE",
+    "CALL",
+    "MERGE",
+    "REPLACE",
+    "GRANT",
+    "REVOKE",
+    "ATTACH",
+    "DETACH",
+    "LOAD",
+    "INSTALL",
+    "COPY",
+    "IMPORT",
+    "EXPORT",
+    "RENAME",
+)
 READ_WORDS = ("SELECT", "WITH")
 
-# Possessive loops: a long literal costs no stack.
-_LITERAL = r"""'[^']*+(?:''[^']*+)*+'|"[^"]*+(?:""[^"]*+)*+\""""
+# Possessive loops: a long literal costs no stack. Names may stand in double or back quotes.
+_LITERAL = r"""'[^']*+(?:''[^']*+)*+'|"[^"]*+(?:""[^"]*+)*+"|`[^`]*+(?:``[^`]*+)*+`"""
 _COMMENT = r"--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"
 
 
+def without_comments(sql: Column) -> Column:
+    return F.regexp_replace(sql, f"({_LITERAL})|{_COMMENT}", "$1 ")
+
+
 def bare_sql(sql: Column) -> Column:
     """The statement without comments and with literals and quoted names as ``?``."""
-    without_comments = F.regexp_replace(sql, f"({_LITERAL})|{_COMMENT}", "$1 ")
-    return F.regexp_replace(without_comments, _LITERAL, "?")
+    return F.regexp_replace(without_comments(sql), _LITERAL, "?")
 
 
 def audit_query_log(log: DataFrame, sql: str = "sql") -> DataFrame:
@@ -56,13 +79,56 @@ def audit_query_log(log: DataFrame, sql: str = "sql") -> DataFrame:
     )
 
 
+# A token is a literal, a word with its dots, or a single other character; blanks are left out.
+_TOKEN = rf"(?:{_LITERAL})|[\w$.]+|[^\s\w$.]"
+_CLAUSE_END = ("HAVING", "ORDER", "LIMIT", "QUALIFY", "WINDOW", "UNION", "INTERSECT", "EXCEPT", "FETCH", "OFFSET")
+
+
 def trace_group_fields(log: DataFrame, sql: str = "sql") -> DataFrame:
-    """Adds the grouped fields named by each statement; positions are left out."""
-    clause = F.regexp_extract(F.coalesce(F.col(sql), F.lit("")), r"(?is)GROUP\s+BY\s+(.+)", 1)
-    clause = F.split_part(F.split_part(clause, F.lit("ORDER BY"), F.lit(1)), F.lit("HAVING"), F.lit(1))
-    parts = F.transform(F.split(clause, ","), lambda p: F.trim(stripped(p), F.lit(",")))
-    fields = F.filter(parts, lambda p: (p != "") & ~p.rlike(r"^\d+$"))
-    named = log.withColumn("_fields", fields)
+    """Adds the grouped fields named by each statement's first GROUP BY; positions are left out.
+
+    The statement is read as tokens with the depth of their brackets. The clause begins after the
+    first GROUP BY and ends with the bracket around it, with a semicolon, or with the next clause at
+    its own depth; commas at that depth part the fields. Inside a field one blank parts two words,
+    and a comma is followed by one.
+    """
+    tokens = F.regexp_extract_all(without_comments(F.coalesce(F.col(sql), F.lit(""))), F.lit(f"({_TOKEN})"), F.lit(1))
+    opening = F.transform("_upper", lambda t, i: (t == "GROUP") & (F.get("_upper", i + 1) == "BY"))
+    begin = F.array_position("_opening", F.lit(True))
+    state = F.struct(
+        F.lit(0).alias("depth"),
+        F.lit(False).alias("over"),
+        F.lit("").alias("field"),
+        F.array().cast("array<string>").alias("fields"),
+    )
+
+    def step(s: Column, token: Column) -> Column:
+        top = s["depth"] == 0
+        ends = top & (token.isin(")", ";") | F.upper(token).isin(*_CLAUSE_END))
+        over = s["over"] | ends
+        parts = top & (token == ",")
+        depth = F.when(token == "(", s["depth"] + 1).when(token == ")", s["depth"] - 1).otherwise(s["depth"])
+        blank = s["field"].rlike(r"[\w$.'\"`]$") & token.rlike(r"^[\w$.'\"`]") | s["field"].rlike(",$")
+        longer = F.concat(s["field"], F.when(blank, F.lit(" ")).otherwise(F.lit("")), token)
+        return F.struct(
+            F.when(over, s["depth"]).otherwise(depth).alias("depth"),
+            over.alias("over"),
+            F.when(over, s["field"]).when(parts, F.lit("")).otherwise(longer).alias("field"),
+            F.when(~over & parts, F.concat(s["fields"], F.array(s["field"]))).otherwise(s["fields"]).alias("fields"),
+        )
+
+    rest = F.greatest(F.size("_tokens") - F.col("_begin") - 1, F.lit(0)).cast("int")
+    clause = F.when(F.col("_begin") > 0, F.slice("_tokens", (F.col("_begin") + 2).cast("int"), rest))
+    read = F.aggregate(
+        F.coalesce(clause, F.array().cast("array<string>")), state, step, lambda s: F.concat(s["fields"], F.array(s["field"]))
+    )
+    named = (
+        log.withColumn("_tokens", tokens)
+        .withColumn("_upper", F.transform("_tokens", F.upper))
+        .withColumn("_opening", opening)
+        .withColumn("_begin", F.coalesce(begin, F.lit(0)))
+        .withColumn("_fields", F.filter(read, lambda f: (f != "") & ~f.rlike(r"^\d+$")))
+    )
     return named.select(*log.columns, F.size("_fields").alias("n_fields"), F.array_join("_fields", "|").alias("group_fields"))
 
 

@@ -19,6 +19,7 @@ from budgetstar.model import (
 )
 from budgetstar.operators.aggregate import aggregate, phase_total
 from budgetstar.operators.clean import present
+from budgetstar.sources.shared import cut_lineage
 
 TOLERANCE = "0.01"  # fixed value: largest accepted difference of two totals
 
@@ -121,61 +122,30 @@ def duplicate_keys(wide: DataFrame, key: str = "key_value") -> DataFrame:
     return wide.groupBy(key).agg(F.count("*").alias("repetitions")).where(F.col("repetitions") > 1)
 
 
-MAX_HOT_KEYS = 50_000
+def _repeated_records(wide: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Records whose key occurs more than once, with the number of repetitions.
 
-
-def _repeated_records(wide: DataFrame, key: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Records whose key occurs more than once: those of hot keys and those of all others.
-
-    Counting moves keys only; whole records are read just for the repeated ones. Hot keys hold
-    more than one row in 50,000, so there are fewer than 50,000 of them whatever the data: they
-    are broadcast, their records stay where they are scanned and are combined there, and a key
-    with a third of all rows sends one row per task. All other keys are small and meet their
-    records in a plain join.
+    Counting moves keys only, and the few repeated keys are written once. Their measured size then
+    decides how they meet the records; a key with a third of all rows is split by the skew handling
+    of the join, and what follows combines its records inside each task.
     """
-    records, repeated = wide.select(key, *columns), duplicate_keys(wide, key)
-    rows = wide.agg(F.count("*")).scalar()
-    is_hot = F.col("repetitions") * MAX_HOT_KEYS > rows
-    hot = records.join(F.broadcast(repeated.where(is_hot).select(key)), key, "left_semi")
-    cold = records.join(repeated.where(~is_hot).select(key), key, "left_semi")
-    return hot, cold
-
-
-_MASK_BITS = 62
+    repeated = cut_lineage(duplicate_keys(wide, key))
+    return wide.select(key, *columns).join(repeated, key)
 
 
-def _differing(records: DataFrame, key: str, columns: Sequence[str], hot: bool) -> DataFrame:
-    """Per key, the columns in which some record is unlike the smallest one.
+def duplicate_key_diff(wide: DataFrame, key: str = "key_value") -> DataFrame:
+    """Per repeated key, the columns whose values differ between its rows (NULL counts as a value).
 
-    Each record is compared with one representative of its key, the same one whenever a task is
-    run again; the outcome is a bit per column, so only two or so BIGINT masks per key are
-    combined, not a pair of extremes per column.
+    A column of a key holds one value if the AND and the OR of its 64-bit hashes are equal, so
+    records of any number are combined to two fixed-width numbers per column where they are read.
     """
-    first = records.groupBy(key).agg(F.count("*").alias("repetitions"), F.min(F.struct(*columns)).alias("first"))
-    compared = records.join(F.broadcast(first) if hot else first, key)
-    bits = {c: (f"mask_{i // _MASK_BITS}", 1 << (i % _MASK_BITS)) for i, c in enumerate(columns)}
-    masks = sorted({m for m, _ in bits.values()})
-
-    def mask(name: str) -> Column:
-        unlike = [
-            F.when(F.col(c).eqNullSafe(F.col(f"first.{c}")), F.lit(0)).otherwise(F.lit(bit)).cast("bigint")
-            for c, (m, bit) in bits.items()
-            if m == name
-        ]
-        return reduce(lambda a, b: a.bitwiseOR(b), unlike).alias(name)
-
-    flags = compared.select(key, "repetitions", *[mask(m) for m in masks])
-    groups = flags.groupBy(key).agg(F.max("repetitions").alias("repetitions"), *[F.bit_or(m).alias(m) for m in masks])
-    names = [F.when(F.col(m).bitwiseAND(F.lit(bit)) != 0, F.lit(c)) for c, (m, bit) in bits.items()]
-    return groups.select(key, "repetitions", F.array_compact(F.array(*names)).alias("names"))
-
-
-def duplicate_key_diff(wide: DataFrame, key: str = "key_value") -> DataFrame:
-    """Per repeated key, the columns whose values differ between its rows (NULL counts as a value)."""
     columns = sorted(c for c in wide.columns if c != key)
-    hot, cold = _repeated_records(wide, key, columns)
-    groups = _differing(hot, key, columns, True).unionByName(_differing(cold, key, columns, False))
-    return groups.select(
+    records = _repeated_records(wide, key, columns)
+    hashed = records.select(key, "repetitions", *[F.xxhash64(F.col(c).isNull(), c).alias(f"h{i}") for i, c in enumerate(columns)])
+    ends = [e for i in range(len(columns)) for e in (F.bit_and(f"h{i}").alias(f"a{i}"), F.bit_or(f"h{i}").alias(f"o{i}"))]
+    groups = hashed.groupBy(key).agg(F.max("repetitions").alias("repetitions"), *ends)
+    names = F.array_compact(F.array(*[F.when(F.col(f"a{i}") != F.col(f"o{i}"), F.lit(c)) for i, c in enumerate(columns)]))
+    return groups.select(key, "repetitions", names.alias("names")).select(
         key, "repetitions", F.size("names").alias("n_columns"), F.array_join("names", ",").alias("differing_columns")
     )
 
@@ -183,30 +153,58 @@ def duplicate_key_diff(wide: DataFrame, key: str = "key_value") -> DataFrame:
 def duplicate_key_amounts(wide: DataFrame, key: str = "key_value") -> DataFrame:
     """Per repeated key, the amount columns with a positive sum."""
     cells = cell_columns(wide.columns)
-    hot, cold = _repeated_records(wide, key, cells)
-    sums = [F.sum(c).alias(c) for c in cells]
-    totals = hot.groupBy(key).agg(*sums).unionByName(cold.groupBy(key).agg(*sums))
+    totals = _repeated_records(wide, key, cells).groupBy(key).agg(*[F.sum(c).alias(c) for c in cells])
     pairs = [e for c in cells for e in (F.lit(c), F.col(c))]
     long = totals.select(key, F.stack(F.lit(len(cells)), *pairs).alias("column_name", "total"))
     return long.where(F.col("total") > 0).select(key, "column_name", as_double(F.col("total")).alias("total"))
 
 
-def table_audit(star: Star) -> DataFrame:
-    """Row count, columns and key cardinality of every gold table as one long table."""
+PREVIEW_ROWS = 10
+
+
+def table_audit(star: Star, rows: int = PREVIEW_ROWS) -> DataFrame:
+    """Row count, columns, key cardinality and first rows of every gold table as one long table.
+
+    One scan of a table gives its rows and the distinct values of all its keys: the keys are
+    stacked as (name, value) and counted in two levels, so a frequent key is one row per task. The
+    preview holds the rows that come first by a hash of the whole row, as JSON.
+    """
     spark = star.fact.sparkSession
     frames = []
     for name, table in star.tables().items():
-        frames.append(table.agg(F.lit(name).alias("table_name"), F.lit("rows").alias("item"), F.lit("*").alias("name"), F.count("*").cast("string").alias("value")))
         schema = [(name, "column", f.name, f.dataType.simpleString()) for f in table.schema.fields]
         frames.append(spark.createDataFrame(schema, "table_name string, item string, name string, value string"))
-        for key in (c for c in table.columns if c.startswith("sk_")):
-            distinct = table.select(key).distinct()
-            frames.append(distinct.agg(F.lit(name).alias("table_name"), F.lit("distinct").alias("item"), F.lit(key).alias("name"), F.count(key).cast("string").alias("value")))
+        frames.append(_cardinality(name, table))
+        frames.append(preview(table, rows).select(F.lit(name).alias("table_name"), F.lit("preview").alias("item"), F.lit("*").alias("name"), "value"))
     return reduce(DataFrame.unionByName, frames)
 
 
-def preview(table: DataFrame, rows: int = 10) -> DataFrame:
-    return table.limit(rows)
+def _cardinality(name: str, table: DataFrame) -> DataFrame:
+    keys = [c for c in table.columns if c.startswith("sk_")]
+    cells = [e for c in keys for e in (F.lit(c), F.col(c).cast("bigint"))]
+    stacked = table.select(F.stack(F.lit(len(keys)), *cells).alias("name", "key"))
+    counted = stacked.groupBy("name", "key").agg(F.count("*").alias("n"))
+    per_key = counted.groupBy("name").agg(F.count("key").alias("values"), F.sum("n").alias("rows"))
+    found = per_key.select(
+        F.stack(
+            F.lit(2),
+            F.lit("distinct"), F.col("name"), F.col("values"),
+            F.when(F.col("name") == keys[0], F.lit("rows")), F.lit("*"), F.col("rows"),
+        ).alias("item", "name", "value")
+    )
+    # An empty table has no stacked row; its zero counts come from here.
+    none = [("distinct", c) for c in keys] + [("rows", "*")]
+    every = table.sparkSession.createDataFrame(none, "item string, name string")
+    counts = found.where(F.col("item").isNotNull())
+    return every.join(counts, ["item", "name"], "left").select(
+        F.lit(name).alias("table_name"), "item", "name", F.coalesce("value", F.lit(0)).cast("string").alias("value")
+    )
+
+
+def preview(table: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
+    """The rows with the smallest md5 of all their values, joined as text: the same on every run."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in table.columns])
+    return table.select(text.alias("value")).orderBy(F.md5("value"), "value").limit(rows)
 
 
 def layer_storage(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -311,6 +309,10 @@ def region_pim_share(star: Star) -> DataFrame:
         how="inner",
         guard=False,
     )
+    return _shares(groups)
+
+
+def _shares(groups: DataFrame) -> DataFrame:
     shares = groups.withColumn("national", groups.agg(F.sum("pim")).scalar()).where(F.col("national") != 0)
     return shares.select(
         "department",
@@ -319,30 +321,65 @@ def region_pim_share(star: Star) -> DataFrame:
     ).orderBy(F.col("pim").desc(), "department")
 
 
+def sample_summary(star: Star) -> DataFrame:
+    """One pass over the facts: rows, NULLs per column and phase sums by year and department key.
+
+    The result has one row per year and geography key; gates, rates, shares and counts of a sample
+    are all worked out from it. It is written once, because each of them reads it.
+    """
+    summed = star.fact.groupBy("anio", "sk_geografia_id").agg(
+        F.count("*").alias("rows"),
+        *[F.coalesce(F.sum(F.when(F.col("fase") == p, F.col("monto"))), _zero()).alias(p) for p in (PLANNED, EXECUTED)],
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in FACT_COLUMNS],
+    )
+    return cut_lineage(summed)
+
+
+def _summary_rates(summary: DataFrame) -> DataFrame:
+    stacked = summary.select(
+        "anio",
+        F.stack(F.lit(2), F.lit(PLANNED), F.col(PLANNED), F.lit(EXECUTED), F.col(EXECUTED)).alias("fase", "monto"),
+    )
+    return execution_rates(stacked)
+
+
+def _summary_shares(summary: DataFrame, star: Star) -> DataFrame:
+    members = star.dim("geografia").select("sk_geografia_id", F.col("departamento_ejecutora_nombre").alias("department"))
+    planned = summary.groupBy("sk_geografia_id").agg(F.sum(PLANNED).alias("pim"))
+    named = planned.join(members, "sk_geografia_id").where(F.col("department").isNotNull() & (F.col("pim") != 0))
+    return _shares(named.groupBy("department").agg(F.sum("pim").alias("pim")))
+
+
 def sample_gates(
-    star: Star, target_rows: int, row_tolerance: float = 0.001, region_threshold: float = 50.0
+    star: Star,
+    target_rows: int,
+    row_tolerance: float = 0.001,
+    region_threshold: float = 50.0,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """Acceptance gates of a sample as ``(gate, scope, value, passed)``.
 
     Rates must lie in [0, 100] for every year and overall, the row count must meet the target, no
-    fact column may hold a NULL. Concentration is reported and always passes.
+    fact column may hold a NULL. Concentration is reported and always passes. The facts are read
+    once, or not at all with a ``summary`` of them.
     """
-    rates = execution_rates(star.fact).select(
+    summary = sample_summary(star) if summary is None else summary
+    rates = _summary_rates(summary).select(
         F.lit("execution_rate").alias("gate"),
         "scope",
         F.col("execution_rate_pct").alias("value"),
         F.coalesce(F.col("execution_rate_pct").between(0.0, 100.0), F.lit(False)).alias("passed"),
     )
-    counts = star.fact.agg(
-        F.count("*").cast("double").alias("rows"),
-        *[F.count_if(F.col(c).isNull()).cast("double").alias(c) for c in FACT_COLUMNS],
+    counts = summary.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).cast("double").alias("rows"),
+        *[F.coalesce(F.sum(f"null_{c}"), F.lit(0)).cast("double").alias(c) for c in FACT_COLUMNS],
     )
     slack = float(max(1, int(target_rows * row_tolerance)))
     lines = [("row_target", "rows", F.abs(F.col("rows") - target_rows) <= slack)]
     lines += [("null_values", c, F.col(c) == 0) for c in FACT_COLUMNS]
     cells = [e for gate, c, ok in lines for e in (F.lit(gate), F.lit(c), F.col(c), ok)]
     checks = counts.select(F.stack(F.lit(len(lines)), *cells).alias("gate", "scope", "value", "passed"))
-    largest = region_pim_share(star).orderBy(F.col("pim").desc(), "department").limit(1)
+    largest = _summary_shares(summary, star).limit(1)
     concentration = largest.where(F.col("share_pct") > region_threshold).select(
         F.lit("concentration_note").alias("gate"),
         F.col("department").alias("scope"),

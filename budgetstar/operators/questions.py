@@ -9,30 +9,124 @@ from budgetstar.functions.text import stripped
 
 YEAR, SCALAR = "year-level", "scalar"
 
-# Words and phrases (English and Spanish) of each grain. Accented words also match
-# without the accent; a phrase that contains a listed word needs no entry of its own.
+# Words and phrases (English and Spanish) of each grain, with and without accents. A
+# phrase that contains a listed word needs no entry of its own.
 GRAIN_WORDS = {
     "economic-level": (
-        "economic, economico, economica, expense category, categoria de gasto, categoria gasto, "
-        "generic expense, genérica, subgenérica, específica"
+        "economic",
+        "economico",
+        "economica",
+        "expense category",
+        "categoria de gasto",
+        "categoria gasto",
+        "generic expense",
+        "genérica",
+        "generica",
+        "subgenérica",
+        "subgenerica",
+        "específica",
+        "especifica",
+    ),
+    "financing-level": (
+        "financing",
+        "financiamiento",
+        "rubro",
+        "resource type",
+        "tipo recurso",
+        "tipo de recurso",
     ),
-    "financing-level": "financing, financiamiento, rubro, resource type, tipo recurso, tipo de recurso",
     "geography-level": (
-        "department, departamento, region, province, provincia, district, distrito, geographic, "
-        "geográfico, geography, geografia, location, ubicación, por región"
+        "department",
+        "departamento",
+        "region",
+        "province",
+        "provincia",
+        "district",
+        "distrito",
+        "geographic",
+        "geográfico",
+        "geografico",
+        "geography",
+        "geografia",
+        "location",
+        "ubicación",
+        "ubicacion",
+        "por región",
+        "por region",
     ),
     "institution-level": (
-        "institution, institución, sector, government level, nivel gobierno, nivel de gobierno, "
-        "national, nacional, regional, local, pliego, institutional, institucional, executing unit, ejecutora"
+        "institution",
+        "institución",
+        "institucion",
+        "sector",
+        "government level",
+        "nivel gobierno",
+        "nivel de gobierno",
+        "national",
+        "nacional",
+        "regional",
+        "local",
+        "pliego",
+        "institutional",
+        "institucional",
+        "executing unit",
+        "ejecutora",
+    ),
+    "program-level": (
+        "program",
+        "programa",
+        "programmatic",
+        "programática",
+        "programatica",
+        "ppto",
+    ),
+    "project-level": (
+        "project",
+        "proyecto",
+        "product",
+        "producto",
+        "investment",
+        "inversión",
+        "inversion",
+    ),
+    "function-level": (
+        "function",
+        "función",
+        "funcion",
+        "functional",
+        "funcional",
+    ),
+    "activity-level": (
+        "activity",
+        "actividad",
+        "action",
+        "acción",
+        "accion",
+        "obra",
     ),
-    "program-level": "program, programa, programmatic, programática, ppto",
-    "project-level": "project, proyecto, product, producto, investment, inversión",
-    "function-level": "function, función, functional, funcional",
-    "activity-level": "activity, actividad, action, acción, obra",
     YEAR: (
-        "year, anio, año, annual, anual, annually, anualmente, yearly, year-over-year, interanual, "
-        "trend, tendencia, evolution, evolución, over time, historical, histórico, time series, "
-        "serie temporal, serie de tiempo"
+        "year",
+        "anio",
+        "año",
+        "annual",
+        "anual",
+        "annually",
+        "anualmente",
+        "yearly",
+        "year-over-year",
+        "interanual",
+        "trend",
+        "tendencia",
+        "evolution",
+        "evolución",
+        "evolucion",
+        "over time",
+        "historical",
+        "histórico",
+        "historico",
+        "time series",
+        "serie temporal",
+        "serie de tiempo",
     ),
 }
 
@@ -45,15 +139,9 @@ SPLIT_RULE = (
     "dimension families in a single SELECT."
 )
 
-_UNACCENTED = str.maketrans("áéíóú", "aeiou")
 _EDGE_MARKS = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
-def grain_dictionary() -> dict[str, list[str]]:
-    words = {g: [w.strip() for w in text.split(",")] for g, text in GRAIN_WORDS.items()}
-    return {g: sorted({v for w in ws for v in (w, w.translate(_UNACCENTED))}) for g, ws in words.items()}
-
-
 def _with_singulars(word: Column) -> Column:
     """The word and its possible singulars: activities -> activity, sectores -> sector, programs -> program."""
     size = F.length(word)
@@ -92,7 +180,7 @@ def tag_question_grain(questions: DataFrame, question: str = "question", strip_p
     )
     found = [
         F.when(F.arrays_overlap(F.col("_runs"), F.array(*[F.lit(w) for w in ws])), F.lit(grain))
-        for grain, ws in sorted(grain_dictionary().items())
+        for grain, ws in sorted(GRAIN_WORDS.items())
     ]
     tagged = tagged.withColumn("_found", F.array_compact(F.array(*found)))
     families = F.array_remove("_found", YEAR)

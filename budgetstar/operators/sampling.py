@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from budgetstar.functions.keys import NULL_MARK, shuffled_order
 from budgetstar.model import DIMENSIONS, ENTITY_KEYS, FACT_COLUMNS, Star
-from budgetstar.operators.quality import execution_rates, region_pim_share, sample_gates
+from budgetstar.operators.quality import _summary_rates, _summary_shares, sample_gates, sample_summary
 from budgetstar.sources.shared import cut_lineage
 
 
@@ -21,7 +21,12 @@ def entity_sizes(fact: DataFrame, years: Sequence[int] | None = None) -> DataFra
     return sizes.select(*ENTITY_KEYS, "n_facts", shuffled_order(ENTITY_KEYS).alias("order_key"))
 
 
-def select_entities(sizes: DataFrame, target_rows: int, prefix: int = 3) -> DataFrame:
+ORDERED_ROWS = 100_000  # entities that one task may put in order
+PREFIX_STEP = 3  # hexadecimal digits by which the order key is narrowed: 4,096 ranges a step
+ORDER_DIGITS = 32  # of the md5 that orders entities
+
+
+def select_entities(sizes: DataFrame, target_rows: int) -> DataFrame:
     """The greedy choice in order: take an entity when it still fits, stop when the target is met.
 
     Walking entities one by one is not needed. With ``room`` rows left, consider only entities
@@ -30,16 +35,14 @@ def select_entities(sizes: DataFrame, target_rows: int, prefix: int = 3) -> Data
     size, and the same step repeats behind it. Every step rules out at least one entity size, so
     there are at most as many steps as distinct sizes (in practice a handful).
 
-    Running totals come from sums per md5 prefix (16**prefix buckets, even by construction) and
-    from one window inside the single bucket where the total goes over. Only that position and two
-    numbers per step reach the driver.
+    Entities are written once, sorted by position, so a step skips the files before it. Running
+    totals come from sums per range of order keys; the range where the total goes over is narrowed
+    until at most ORDERED_ROWS of its entities are left, and only those meet in one window. Only a
+    prefix and two numbers per narrowing reach the driver.
     """
     tie = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in ENTITY_KEYS])
-    placed = cut_lineage(
-        sizes.withColumn("_at", F.concat(F.col("order_key"), F.lit("|"), tie)).withColumn(
-            "_bucket", F.substring("order_key", 1, prefix)
-        )
-    )
+    placed = sizes.withColumn("_at", F.concat(F.col("order_key"), F.lit("|"), tie))
+    placed = cut_lineage(placed.repartitionByRange("_at").sortWithinPartitions("_at"))
     taken: list[Column] = []
     last, room = "", int(target_rows)
     while room > 0:
@@ -52,55 +55,49 @@ def select_entities(sizes: DataFrame, target_rows: int, prefix: int = 3) -> Data
         taken.append(fits & (F.col("_at") < at))
         last, room = at, room - before
     chosen = reduce(lambda a, b: a | b, taken, F.lit(False))
-    return placed.where(chosen).drop("_at", "_bucket")
+    return cut_lineage(placed.where(chosen).drop("_at"))
 
 
 def _first_crossing(candidates: DataFrame, room: int) -> tuple[str, int] | None:
     """Position of the first candidate whose running total exceeds ``room`` and the total before it."""
-    sums = candidates.groupBy("_bucket").agg(F.sum("n_facts").alias("s"))
-    over_buckets = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    running = sums.withColumn("upto", F.sum("s").over(over_buckets))  # at most 16**prefix rows
-    hit = running.where(F.col("upto") > room).orderBy("_bucket").select("_bucket", F.col("upto") - F.col("s")).first()
-    if hit is None:
-        return None
-    bucket, before = hit
-    inside = Window.partitionBy("_bucket").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = candidates.where(F.col("_bucket") == bucket).withColumn("upto", F.sum("n_facts").over(inside) + before)
-    first = rows.where(F.col("upto") > room).orderBy("_at").select("_at", F.col("upto") - F.col("n_facts")).first()
+    prefix, before, inside = "", 0, None
+    while inside is None or inside > ORDERED_ROWS and len(prefix) < ORDER_DIGITS:
+        rows = candidates.where(F.col("_at").startswith(prefix))
+        width = len(prefix) + PREFIX_STEP
+        sums = rows.groupBy(F.substring("order_key", 1, width).alias("range")).agg(
+            F.sum("n_facts").alias("s"), F.count("*").alias("n")
+        )
+        over = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)  # at most 4,096 rows
+        running = sums.withColumn("upto", F.sum("s").over(over) + before).where(F.col("upto") > room)
+        hit = running.orderBy("range").select("range", F.col("upto") - F.col("s"), "n").first()
+        if hit is None:
+            return None
+        prefix, before, inside = hit[0], int(hit[1]), hit[2]
+    rows = candidates.where(F.col("_at").startswith(prefix))
+    ordered = Window.partitionBy(F.lit(0)).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    upto = rows.withColumn("upto", F.sum("n_facts").over(ordered) + before)
+    first = upto.where(F.col("upto") > room).orderBy("_at").select("_at", F.col("upto") - F.col("n_facts")).first()
     return first[0], int(first[1])
 
 
-MAX_BROADCAST_ENTITIES = 1_000_000  # five BIGINT keys each, about 40 MB
-
-
-def _wanted(keys: DataFrame, target_rows: int) -> DataFrame:
-    """Chosen keys as a join side. A sample of ``target_rows`` facts has at most that many
-    entities, so a moderate target proves the list small; a larger one is left to its measured size."""
-    return F.broadcast(keys) if target_rows <= MAX_BROADCAST_ENTITIES else keys
-
-
-def sample_facts(
-    fact: DataFrame, entities: DataFrame, target_rows: int, years: Sequence[int] | None = None
-) -> DataFrame:
-    """Every fact of the chosen entities; with a moderate target the fact is filtered in place."""
+def sample_facts(fact: DataFrame, entities: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
+    """Every fact of the chosen entities; the measured size of the entity table decides the join."""
     chosen = fact if years is None else fact.where(F.col("anio").isin(list(years)))
-    keys = _wanted(entities.select(*ENTITY_KEYS), target_rows)
+    keys = entities.select(*ENTITY_KEYS)
     return chosen.join(keys, list(ENTITY_KEYS), "left_semi").select(*FACT_COLUMNS)
 
 
-def sample_star(
-    star: Star, entities: DataFrame, target_rows: int, years: Sequence[int] | None = None
-) -> Star:
+def sample_star(star: Star, entities: DataFrame, years: Sequence[int] | None = None) -> Star:
     """Facts of the chosen entities and the dimension members they use.
 
-    The facts, at most ``target_rows`` of them, are kept as a table: gates, counts and manifest
+    The facts, no more than the target of the sample, are kept as a table: gates, counts and manifest
     then read the sample and not the whole fact again.
     """
     dims = {
-        d.name: star.dim(d.name).join(_wanted(entities.select(d.key).distinct(), target_rows), d.key, "left_semi")
+        d.name: star.dim(d.name).join(entities.select(d.key).distinct(), d.key, "left_semi")
         for d in DIMENSIONS
     }
-    facts = cut_lineage(sample_facts(star.fact, entities, target_rows, years))
+    facts = cut_lineage(sample_facts(star.fact, entities, years))
     return Star(fact=facts, dims=dims, cutoff=star.cutoff)
 
 
@@ -144,23 +141,24 @@ def export_csv(table: DataFrame, path: str) -> None:
 
 
 def sample_manifest(star: Star, entities: DataFrame, target_rows: int, years: Sequence[int]) -> DataFrame:
-    """One row describing a sample: parameters, counts and gate results."""
-    gates = sample_gates(star, target_rows)
+    """One row describing a sample: parameters, counts and gate results, from one pass over its facts."""
+    summary = sample_summary(star)
+    gates = sample_gates(star, target_rows, summary=summary)
     failed = F.concat_ws(":", "gate", "scope")
     verdict = gates.agg(
         F.every("passed").alias("gates_passed"),
         F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), failed))), ",").alias("failed_gates"),
     )
-    overall = execution_rates(star.fact).where(F.col("scope") == "global").select("execution_rate_pct")
-    first_region = region_pim_share(star).limit(1)
+    overall = _summary_rates(summary).where(F.col("scope") == "global").select("execution_rate_pct")
+    first_region = _summary_shares(summary, star).limit(1)
     counts = {
-        "fact_rows": star.fact,
         "entities": entities,
         **{f"{d.table}_rows": star.dim(d.name) for d in DIMENSIONS},
     }
     return verdict.select(
         F.lit(int(target_rows)).cast("bigint").alias("target_rows"),
         F.lit(",".join(str(y) for y in years)).alias("years"),
+        F.coalesce(summary.agg(F.sum("rows")).scalar(), F.lit(0)).alias("fact_rows"),
         *[t.agg(F.count("*")).scalar().alias(n) for n, t in counts.items()],
         overall.scalar().alias("execution_rate_pct"),
         first_region.select("department").scalar().alias("top_department"),

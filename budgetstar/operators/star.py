@@ -64,20 +64,23 @@ def build_star(keyed: DataFrame, cutoff: int = YEAR_CUTOFF) -> Star:
 def fk_orphans(star: Star) -> DataFrame:
     """Per key: distinct keys in the fact, in the dimension, and fact keys without a member.
 
-    Each key column is reduced to its distinct values before it meets the dimension.
+    One scan of the fact stacks the five keys as (name, key); they shrink to distinct values inside
+    each task before they meet the stacked keys of the dimensions.
     """
-
-    def counts(dimension: Dimension) -> DataFrame:
-        in_fact = star.fact.groupBy(dimension.key).agg(F.count("*").alias("n")).withColumn("f", F.lit(1))
-        in_dim = star.dim(dimension.name).select(dimension.key).withColumn("d", F.lit(1))
-        both = in_fact.join(in_dim, dimension.key, "full")
-        orphan: Column = F.col("f").isNotNull() & F.col("d").isNull()
-        return both.agg(
-            F.lit(dimension.key).alias("key_name"),
-            F.count("f").alias("fact_keys"),
-            F.count("d").alias("dim_keys"),
-            F.count_if(orphan).alias("orphan_keys"),
-            F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).alias("orphan_rows"),
-        )
-
-    return reduce(DataFrame.unionByName, [counts(d) for d in DIMENSIONS])
+    cells = [e for d in DIMENSIONS for e in (F.lit(d.key), F.col(d.key))]
+    stacked = star.fact.select(F.stack(F.lit(len(DIMENSIONS)), *cells).alias("key_name", "key"))
+    in_fact = stacked.groupBy("key_name", "key").agg(F.count("*").alias("n")).withColumn("f", F.lit(1))
+    members = [star.dim(d.name).select(F.lit(d.key).alias("key_name"), F.col(d.key).alias("key")) for d in DIMENSIONS]
+    in_dim = reduce(DataFrame.unionByName, members).withColumn("d", F.lit(1))
+    # A NULL key has no member, so it stays an orphan in the plain comparison.
+    both = in_fact.join(in_dim, ["key_name", "key"], "full")
+    orphan: Column = F.col("f").isNotNull() & F.col("d").isNull()
+    found = both.groupBy("key_name").agg(
+        F.count("f").alias("fact_keys"),
+        F.count("d").alias("dim_keys"),
+        F.count_if(orphan).alias("orphan_keys"),
+        F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).alias("orphan_rows"),
+    )
+    names = star.fact.sparkSession.createDataFrame([(d.key,) for d in DIMENSIONS], "key_name string")
+    counts = ("fact_keys", "dim_keys", "orphan_keys", "orphan_rows")
+    return names.join(found, "key_name", "left").select("key_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from budgetstar.functions.money import (
     as_double,
@@ -39,6 +41,9 @@ from budgetstar.plans import questions as worked
 from budgetstar.plans.layers import Layers
 from budgetstar.sources import bronze, fixture
 from budgetstar.sources.parquet import register_star as register_views
+from budgetstar.sources.parquet import write_layer
+from budgetstar.sources.shared import application_folder
+from budgetstar.streaming.ingest import ingest_incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,16 +92,46 @@ def _amounts_as_double(table: DataFrame) -> DataFrame:
 
 @query
 def bronze_ingest(at: Layers) -> DataFrame:
-    return bronze.strip_headers(fixture.bronze_text(at.spark, at.source))
+    """A folder of CSV files read back: every value as text, header blanks stripped."""
+    return bronze.scan_csv(at.spark, f"{at.csv_folder}/delivery_1")
+
+
+@query
+def bronze_glob(at: Layers) -> DataFrame:
+    """Two deliveries, the second with its columns in another order."""
+    return bronze.scan_csv(at.spark, f"{at.csv_folder}/delivery_*/*.csv")
+
+
+@query
+def bronze_incremental(at: Layers) -> DataFrame:
+    """The deliveries picked up one after the other by the incremental ingest."""
+    folder = f"{application_folder(at.spark)}/incremental-{uuid.uuid4().hex[:12]}"
+    names = [h.strip() for h in fixture.bronze_headers(at.wide.columns).values()]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    for delivery in ("delivery_1", "delivery_2"):
+        run = ingest_incremental(
+            at.spark, f"{at.csv_folder}/{delivery}", f"{folder}/{delivery}", f"{folder}/{delivery}-marks", schema
+        )
+        run.awaitTermination()
+    return at.spark.read.option("recursiveFileLookup", True).schema(schema).parquet(folder + "/delivery_1", folder + "/delivery_2")
+
+
+@query
+def parquet_round_trip(at: Layers) -> DataFrame:
+    """Fact rows written split by year, read back and summed."""
+    path = f"{application_folder(at.spark)}/round-trip-{uuid.uuid4().hex[:12]}"
+    back = write_layer(star.build_fact(at.silver), path, partition_by=["anio"])
+    return back.groupBy("anio", "fase").agg(F.count("*").alias("n"), as_double(F.sum("monto")).alias("total"))
 
 
 @query
 def schema_dictionary(at: Layers) -> DataFrame:
-    """Source typed by its data dictionary: variable, type, readable values."""
-    source = clean.clean_columns(bronze.strip_headers(fixture.bronze_text(at.spark, at.source)))
-    kinds = [(c, "Numérico" if split_cell(c) else " Carácter ") for c in source.columns]
+    """CSV files read in the types of their data dictionary: variable, type, readable values."""
+    columns = list(fixture.bronze_headers(at.wide.columns).items())
+    kinds = [(h.strip(), "Numérico" if split_cell(c) else " Carácter ") for c, h in columns]
     dictionary = at.spark.createDataFrame(kinds, "VARIABLE string, TIPO_DATO string")
-    typed = bronze.apply_dictionary(source, dictionary)
+    schema = bronze.schema_from_dictionary(dictionary, [h for _, h in columns])
+    typed = clean.clean_columns(bronze.scan_csv(at.spark, f"{at.csv_folder}/delivery_*", schema))
     counts = typed.agg(*[F.count(c).alias(c) for c in typed.columns])
     cells = [e for f in typed.schema.fields for e in (F.lit(f.name), F.lit(f.dataType.simpleString()), F.col(f.name))]
     return counts.select(F.stack(F.lit(len(typed.columns)), *cells).alias("variable", "data_type", "readable"))
@@ -231,10 +266,10 @@ def phase_totals(at: Layers) -> DataFrame:
 def execution_rate(at: Layers) -> DataFrame:
     """Both ratio conventions; the opening budget is missing for some groups and so is their rate."""
     measures = {"pia": phase_total("pia"), "girado": phase_total("girado")}
-    groups = aggregate(at.star, measures, {"line": "subgenerica"}, ONE_YEAR)
+    groups = aggregate(at.star, measures, {"anio": "anio", "line": "subgenerica"})
     part, whole = F.col("girado"), F.col("pia")
     return groups.select(
-        "line", rate_pct(part, whole).alias("rate_or_zero"), rate_pct_or_null(part, whole).alias("rate_or_null")
+        "anio", "line", rate_pct(part, whole).alias("rate_or_zero"), rate_pct_or_null(part, whole).alias("rate_or_null")
     )
 
 
@@ -256,9 +291,9 @@ def currency_label_amounts(at: Layers) -> DataFrame:
 @named("execution_tier")
 def execution_tier_groups(at: Layers) -> DataFrame:
     groups = aggregate(
-        at.star, {"part": phase_total("girado"), "whole": phase_total("pim")}, {"name": "ejecutora_nombre"}, ONE_YEAR
+        at.star, {"part": phase_total("girado"), "whole": phase_total("pim")}, {"anio": "anio", "name": "ejecutora_nombre"}
     )
-    rated = groups.select("name", rate_pct(F.col("part"), F.col("whole")).alias("rate"))
+    rated = groups.select("anio", "name", rate_pct(F.col("part"), F.col("whole")).alias("rate"))
     return rated.select("*", execution_tier(F.col("rate")).alias("tier"), target_gap(F.col("rate")).alias("target_gap"))
 
 
@@ -269,7 +304,7 @@ def measure_catalog(at: Layers) -> DataFrame:
     measures["fases"] = Measure("array_agg", column="fase")
     groups, grain = grain_aggregate(at.star, measures, ["fi.fuente_financiamiento_nombre", "anio"])
     shown = {"monto_sum": "decimal(28,2)", "monto_min": "decimal(28,2)", "monto_max": "decimal(28,2)"}
-    shown |= {f"monto_{a}": "decimal(28,3)" for a in ("avg", "stddev", "variance")}
+    shown |= {"monto_avg": "decimal(28,3)", "monto_stddev": "decimal(28,3)", "monto_variance": "decimal(28,0)"}
     return groups.select(
         F.lit(grain).alias("grain"),
         "fuente_financiamiento_nombre",
@@ -359,6 +394,19 @@ def programmatic_allocation(at: Layers) -> DataFrame:
     return _tagged("by", {c: dashboard.programmatic_allocation(at.star, c, 10, ONE_YEAR) for c in columns})
 
 
+@query
+def dashboard_unfiltered(at: Layers) -> DataFrame:
+    """The filterable breakdowns over all reportable years and members."""
+    frames = {f"top {c}": dashboard.top_concentrations(at.star, c, 10).toDF("name", "amount") for c in dashboard.CONCENTRATION_COLUMNS}
+    for c in dashboard.VARIANCE_COLUMNS:
+        frames[f"variance {c}"] = dashboard.execution_variance(at.star, c).select(F.col("dimension").alias("name"), F.col("pim").alias("amount"))
+    for c in dashboard.PROGRAM_COLUMNS:
+        frames[f"program {c}"] = dashboard.programmatic_allocation(at.star, c, 10).toDF("name", "amount")
+    frames["economic"] = dashboard.economic_composition(at.star).select(F.col("economic_category").alias("name"), F.col("pim").alias("amount"))
+    frames["financing"] = dashboard.financing_structure(at.star).select(F.col("financing_source").alias("name"), F.col("pim").alias("amount"))
+    return _tagged("breakdown", frames)
+
+
 # --- reports and worked questions ----------------------------------------------------------------
 
 
@@ -384,7 +432,14 @@ def report_sector_projects(at: Layers) -> DataFrame:
 
 @query
 def report_sector_projects_approx(at: Layers) -> DataFrame:
-    return reports.sector_projects_approx(at.star, YEAR)
+    """The sketch next to the exact count, and whether it is within its tolerance."""
+    near = reports.sector_projects_approx(at.star, YEAR).select("government_sector", F.col("estimated_project_count").alias("near"))
+    exact = reports.sector_projects(at.star, YEAR).select("government_sector", F.col("estimated_project_count").alias("exact"))
+    both = exact.join(near, "government_sector", "left")
+    counts = {c: F.replace(F.col(c), F.lit(","), F.lit("")).cast("bigint") for c in ("near", "exact")}
+    gap = F.abs(counts["near"] - counts["exact"])
+    within = gap <= F.greatest(F.lit(1.0), 0.1 * counts["exact"])
+    return both.select("government_sector", counts["exact"].alias("exact"), F.coalesce(within, F.lit(False)).alias("within_tolerance"))
 
 
 @query
@@ -472,7 +527,9 @@ def table_audit(at: Layers) -> DataFrame:
 
 @query
 def layer_storage(at: Layers) -> DataFrame:
-    return quality.layer_storage({n: at.spark.read.parquet(p) for n, p in at.folders().items()})
+    """Rows per stored layer, and that each has files with bytes; their numbers depend on the run."""
+    usage = quality.layer_storage({n: at.spark.read.parquet(p) for n, p in at.folders().items()})
+    return usage.select("layer", "rows", ((F.col("files") > 0) & (F.col("bytes") > 0)).alias("is_stored"))
 
 
 @query
@@ -518,17 +575,20 @@ def entity_sample(at: Layers) -> DataFrame:
 
 @query
 def sample_facts(at: Layers) -> DataFrame:
-    facts = sampling.sample_facts(at.star.fact, _entities(at), SAMPLE_TARGET, SAMPLE_YEARS)
+    facts = sampling.sample_facts(at.star.fact, _entities(at), SAMPLE_YEARS)
     return facts.withColumn("monto", as_double(F.col("monto")))
 
 
 @query
 def sample_dims(at: Layers) -> DataFrame:
-    sample = sampling.sample_star(at.star, _entities(at), SAMPLE_TARGET, SAMPLE_YEARS)
+    sample = sampling.sample_star(at.star, _entities(at), SAMPLE_YEARS)
     return _tagged(
         "table_name",
         {
-            BY_NAME[n].table: d.select(F.col(BY_NAME[n].key).alias("sk"), F.col(BY_NAME[n].required).alias("code"))
+            BY_NAME[n].table: d.select(
+                F.col(BY_NAME[n].key).alias("sk"),
+                F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("~")) for c in BY_NAME[n].columns]).alias("member"),
+            )
             for n, d in sample.dims.items()
         },
     )
@@ -537,19 +597,19 @@ def sample_dims(at: Layers) -> DataFrame:
 @query
 def sample_integrity(at: Layers) -> DataFrame:
     entities = _entities(at)
-    return sampling.sample_integrity(sampling.sample_facts(at.star.fact, entities, SAMPLE_TARGET, SAMPLE_YEARS), entities)
+    return sampling.sample_integrity(sampling.sample_facts(at.star.fact, entities, SAMPLE_YEARS), entities)
 
 
 @query
 def sample_gates(at: Layers) -> DataFrame:
-    sample = sampling.sample_star(at.star, _entities(at), SAMPLE_TARGET, SAMPLE_YEARS)
+    sample = sampling.sample_star(at.star, _entities(at), SAMPLE_YEARS)
     return quality.sample_gates(sample, SAMPLE_TARGET, region_threshold=20.0)
 
 
 @query
 def sample_manifest(at: Layers) -> DataFrame:
     entities = _entities(at)
-    sample = sampling.sample_star(at.star, entities, SAMPLE_TARGET, SAMPLE_YEARS)
+    sample = sampling.sample_star(at.star, entities, SAMPLE_YEARS)
     return sampling.sample_manifest(sample, entities, SAMPLE_TARGET, SAMPLE_YEARS)
 
 
@@ -583,7 +643,12 @@ def trace_stage_stats(at: Layers) -> DataFrame:
 
 @query
 def trace_stage_stats_approx(at: Layers) -> DataFrame:
-    return logs.trace_stage_stats_approx(fixture.trace_log(at.spark, at.source))
+    """Exact percentiles, and whether the sketch is within one percent of them."""
+    log = fixture.trace_log(at.spark, at.source)
+    exact, near = logs.trace_stage_stats(log), logs.trace_stage_stats_approx(log)
+    both = exact.join(near.select("stage", F.col("p50_ms").alias("n50"), F.col("p95_ms").alias("n95")), "stage")
+    close = [F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(0.05), 0.01 * F.col(a)) for a, b in (("p50_ms", "n50"), ("p95_ms", "n95"))]
+    return both.select("stage", "runs", "p50_ms", "p95_ms", (close[0] & close[1]).alias("within_tolerance"))
 
 
 @query

@@ -1,40 +1,114 @@
-"""Bronze layer: CSV files to Parquet, every value kept as text."""
+"""Bronze layer: CSV files to Parquet, every value kept as text unless a schema is given."""
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from budgetstar.model import MONEY
 from budgetstar.operators.clean import rename_all
 from budgetstar.sources.parquet import write_layer
 
 TEXT_TYPE = "Carácter"  # fixed value: how the data dictionary marks text variables
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """One file, a folder or a glob; unreadable values become NULL, header blanks are stripped.
+class UnknownColumnsError(ValueError):
+    """A file brings columns that the given schema does not have."""
 
-    Without a schema all columns are text, so no pass over the data is spent on inference.
-    """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
-    if schema is not None:
-        reader = reader.schema(schema)
+
+def _reader(spark: SparkSession, multi_line: bool) -> DataFrameReader:
+    options = {"header": True, "mode": "PERMISSIVE", "enforceSchema": False, "multiLine": multi_line, "escape": '"'}
+    return spark.read.options(**options)
+
+
+def csv_files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """Files of a path, folder, glob or list; only the listing is read."""
+    paths = [path] if isinstance(path, str) else list(path)
     try:
-        source = reader.csv(path)
+        listed = spark.read.format("binaryFile").load(paths).select("path").where("length > 0")
+        return sorted(r.path for r in listed.collect())
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"CSV not found: {path}") from error
         raise
-    return strip_headers(source)
+
+
+def files_by_header(spark: SparkSession, files: Sequence[str], multi_line: bool = True) -> dict[tuple[str, ...], list[str]]:
+    """Files that share a header, columns as written. One small job per file reads its first record."""
+    with ThreadPoolExecutor(8) as pool:
+        headers = list(pool.map(lambda f: tuple(_reader(spark, multi_line).csv(f).columns), files))
+    groups = defaultdict(list)
+    for file, header in zip(files, headers):
+        groups[header].append(file)
+    return dict(groups)
+
+
+def scan_csv(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType | None = None,
+    multi_line: bool = True,
+) -> DataFrame:
+    """One file, a folder, a glob or a list of files as one table; columns meet by name.
+
+    Header blanks are stripped. Files are read per header, so their columns may come in any order;
+    a column that only some files have is NULL in the others. Without a schema all columns are
+    text and no pass is spent on inference. With one, values are read in its types (unreadable ones
+    become NULL), its columns are returned in its order, and a file with any other column raises
+    ``UnknownColumnsError`` that names file and columns.
+
+    Quoted fields may hold line breaks, which means a file is read by one task; deliveries of
+    several files are read in parallel. ``multi_line=False`` lets Spark split files whose fields
+    are known to hold none.
+    """
+    files = csv_files(spark, path)
+    if not files:
+        raise FileNotFoundError(f"No CSV file with content: {path}")
+    groups = files_by_header(spark, files, multi_line)
+    if schema is not None:
+        _check_columns(groups, schema)
+    frames = [_read_group(spark, header, same, schema, multi_line) for header, same in sorted(groups.items())]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    if schema is None:
+        return whole
+    kinds = {f.name.strip(): f.dataType for f in schema.fields}
+    return whole.select(*[(F.col(f"`{c}`") if c in whole.columns else F.lit(None).cast(t)).alias(c) for c, t in kinds.items()])
+
+
+def _check_columns(groups: dict[tuple[str, ...], list[str]], schema: T.StructType) -> None:
+    known = {n.strip() for n in schema.names}
+    strange = {files[0]: sorted({c.strip() for c in header} - known) for header, files in groups.items()}
+    told = "; ".join(f"{file}: {', '.join(columns)}" for file, columns in sorted(strange.items()) if columns)
+    if told:
+        raise UnknownColumnsError(f"Columns that the schema does not have: {told}")
+
+
+def _read_group(
+    spark: SparkSession, header: Sequence[str], files: list[str], schema: T.StructType | None, multi_line: bool
+) -> DataFrame:
+    kinds = {} if schema is None else {f.name.strip(): f.dataType for f in schema.fields}
+    typed = T.StructType([T.StructField(c, kinds.get(c.strip(), T.StringType())) for c in header])
+    return strip_headers(_reader(spark, multi_line).schema(typed).csv(files))
 
 
 def strip_headers(source: DataFrame) -> DataFrame:
     return rename_all(source, str.strip)
 
 
-def ingest_csv(spark: SparkSession, path: str, target: str) -> DataFrame:
+def write_csv(table: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """CSV files with a header that ``scan_csv`` reads back unchanged: blanks and line breaks are kept."""
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table.write.mode(mode).options(**options).csv(path)
+
+
+def ingest_csv(spark: SparkSession, path: str | Sequence[str], target: str) -> DataFrame:
     """Copy CSV files to a Parquet table and return the table."""
     return write_layer(scan_csv(spark, path), target)
 
@@ -46,11 +120,9 @@ def text_variables(dictionary: DataFrame) -> list[str]:
 
 
 def schema_from_dictionary(dictionary: DataFrame, columns: list[str]) -> T.StructType:
-    """Text for declared variables (codes keep their leading zeros), amounts for all others."""
+    """Text for declared variables (codes keep their leading zeros), exact amounts for all others."""
     text = set(text_variables(dictionary))
-    return T.StructType(
-        [T.StructField(c, T.StringType() if c.strip() in text else T.DoubleType()) for c in columns]
-    )
+    return T.StructType([T.StructField(c, T.StringType() if c.strip() in text else MONEY) for c in columns])
 
 
 def apply_dictionary(source: DataFrame, dictionary: DataFrame) -> DataFrame:

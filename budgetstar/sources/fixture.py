@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from budgetstar.model import DIMENSIONS, PHASES, cell_columns, text_columns
-from budgetstar.sources.parquet import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 YEARS = tuple(range(1995, 2002))
@@ -20,10 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(table(spark, sf_dir, name))
-
-
 def _phase_amounts() -> dict[str, Column]:
     ext = F.col("l_extendedprice").cast("decimal(12,2)")
     net = ext * (F.lit(1).cast("decimal(1,0)") - F.col("l_discount").cast("decimal(4,2)"))
@@ -45,8 +40,9 @@ def wide_budget(spark: SparkSession, sf_dir: str, years: Sequence[int] = YEARS)
 
     Join strategies are left to the optimizer: region, nation and supplier are small at any scale
     factor it has seen, part and customer are broadcast only while their measured size allows it.
+    Line items are dealt by the key of their first join, at any size.
     """
-    line, orders = spread_table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    line, orders = table(spark, sf_dir, "lineitem").repartition("l_orderkey"), table(spark, sf_dir, "orders")
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     part = table(spark, sf_dir, "part")
@@ -154,70 +150,70 @@ def bronze_text(spark: SparkSession, sf_dir: str, years: Sequence[int] = YEARS)
     return wide.select(*text, *cells)
 
 
-# Question templates, numbered from 0 (English and Spanish, plurals, several families, empty).
-QUESTION_TEMPLATES = (
-    "Show PIM by department for 2024",
-    "What is the budget by financing source?",
-    "Budget by economic category",
-    "Compare PIM by sector",
-    "Top programs by PIM",
-    "Which projects have the highest budget?",
-    "Show PIM by department by year",
-    "Show PIM by department and financing source for 2024",
-    "Show PIM by economic category and financing source annually",
-    "What was the total PIM for 2024?",
-    "Show budget trends over time",
-    "Presupuesto por departamento por año",
-    "Cuanto fue el PIM total para 2024?",
-    "presupuesto por sector y departamento",
-    "Budget by sectors and departments",
-    "presupuesto por sectores y departamentos",
-    "Budget by activities",
-    "PIM by government functions",
-    "",
-    "   ",
-    "Show PIM by department for 2024 by year",
-    "Regional spending per year",
-    "Evolución del gasto por instituciones",
-    "Gasto por fuente de financiamiento, rubro y año",
-)
+# How columns of an order are asked about (English, Spanish). Priorities and states name
+# a family each, or none.
+ASKED_BY_PRIORITY = {
+    "1-URGENT": ("department", "departamento"),
+    "2-HIGH": ("sectors", "sectores"),
+    "3-MEDIUM": ("program", "programa"),
+    "4-NOT SPECIFIED": ("financing source", "fuente de financiamiento"),
+}
+ASKED_BY_STATUS = {"O": ("projects", "proyectos"), "P": ("economic category", "categoria de gasto")}
 
 
 def question_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"))
-    templates = F.array(*[F.lit(t) for t in QUESTION_TEMPLATES])
-    slot = (F.col("question_id") % len(QUESTION_TEMPLATES) + 1).cast("int")
-    return orders.select("question_id", F.element_at(templates, slot).alias("question"))
-
-
-# Logged statements, numbered from 0 (accepted, forbidden, several statements, quoted words).
-SQL_TEMPLATES = (
-    "SELECT 1",
-    "SELECT a, SUM(b) FROM t GROUP BY a",
-    "WITH x AS (SELECT 1) SELECT * FROM x",
-    "WITH top AS (SELECT id, SUM(amount) AS total FROM t GROUP BY id ORDER BY total DESC LIMIT 1) "
-    "SELECT tp.id, year, SUM(amount) AS annual FROM fact f CROSS JOIN top tp WHERE f.id = tp.id "
-    "GROUP BY tp.id, year ORDER BY year",
-    "DELETE FROM fact_presupuesto",
-    "UPDATE fact_presupuesto SET monto = 0",
-    "INSERT INTO t VALUES (1)",
-    "DROP TABLE fact_presupuesto",
-    "SELECT 1; DROP TABLE x",
-    "WITH x AS (DELETE FROM t) SELECT * FROM x",
-    "WITH x AS (SELECT 1) DELETE FROM t",
-    "SELECT 'please drop; delete everything' AS note FROM t",
-    "-- update the report\nSELECT anio, fase, SUM(monto) FROM fact_presupuesto GROUP BY 1, fase;",
-    "/* create; nothing */ select sector_nombre from dim_institucion group by sector_nombre having count(*) > 1",
-    "SELECT \"truncate\" FROM t GROUP BY \"truncate\"",
-    "",
-)
+    """A question per order: families, language and the time axis follow from its columns.
+
+    The customer, the price and the date stand in the text as well, so hardly two are alike.
+    """
+    spanish = F.col("o_custkey") % 2 == 1
+
+    def asked(column: str, words: dict[str, tuple[str, str]]) -> Column:
+        phrase = F.lit("")
+        for value, (english, local) in words.items():
+            by = F.when(spanish, F.lit(f" por {local}")).otherwise(F.lit(f" by {english}"))
+            phrase = F.when(F.col(column) == value, by).otherwise(phrase)
+        return phrase
+
+    time = F.when(F.col("o_orderkey") % 3 == 0, F.when(spanish, F.lit(" por año")).otherwise(F.lit(" per year"))).otherwise(F.lit(""))
+    text = F.concat(
+        F.when(spanish, F.lit("¿Cuanto fue el PIM")).otherwise(F.lit("Show PIM")),
+        asked("o_orderpriority", ASKED_BY_PRIORITY),
+        asked("o_orderstatus", ASKED_BY_STATUS),
+        time,
+        F.lit(" ("),
+        F.col("o_custkey").cast("string"),
+        F.lit("; "),
+        F.date_format("o_orderdate", "yyyy-MM-dd"),
+        F.lit(")?"),
+    )
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), text.alias("question"))
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"))
-    templates = F.array(*[F.lit(t) for t in SQL_TEMPLATES])
-    slot = (F.col("query_id") % len(SQL_TEMPLATES) + 1).cast("int")
-    return orders.select("query_id", F.element_at(templates, slot).alias("sql"))
+    """A statement per document: its text is a quoted literal or a comment, its labels are names.
+
+    The form follows from the document number: grouped reads with a clause behind, reads through a
+    CTE, writes, two statements.
+    """
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    note = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+    remark = F.concat(F.lit("/* "), F.replace(text, F.lit("*/"), F.lit("* /")), F.lit(" */"))
+    lang, source = F.col("lang"), F.col("source")
+    forms = [
+        ("SELECT ", lang, ", sum(monto), ", note, " AS note FROM ", source, " GROUP BY ", lang, ", 2 order by 1 ", remark),
+        (remark, " select `", source, "`, date_trunc('y', d) from t group by `", source, "`, date_trunc('y', d) having count(*) > 1;"),
+        ("DELETE FROM ", source, " WHERE note = ", note),
+        ("SELECT ", note, " AS a; DROP TABLE ", source),
+        ("WITH x AS (SELECT ", source, ", sum(b) s FROM t WHERE note = ", note, " GROUP BY ", source, ") SELECT * FROM x WHERE s > 1"),
+        ("WITH x AS (SELECT 1) UPDATE t SET a = ", note, " ", remark),
+    ]
+    written = [F.concat(*[F.lit(p) if isinstance(p, str) else p for p in form]) for form in forms]
+    sql = F.lit(None).cast("string")
+    for number, form in enumerate(written):
+        sql = F.when(F.col("doc_id") % len(forms) == number, form).otherwise(sql)
+    return docs.select(F.col("doc_id").alias("query_id"), sql.alias("sql"))
 
 
 # How event types stand in for execution stages.
@@ -233,7 +229,7 @@ FAILURES_OF_EVENT = ("SQL_SYNTAX_ERROR", "MISSING_GROUP_BY", "DATA_JOIN_MISMATCH
 
 def trace_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON line per event, shaped like the execution log of a query service."""
-    events = spread_table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events")
     stage = F.lit("USER_INPUT")
     for event, name in STAGE_OF_EVENT.items():
         stage = F.when(F.col("event_type") == event, name).otherwise(stage)

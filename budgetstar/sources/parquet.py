@@ -10,18 +10,6 @@ from pyspark.sql.types import StructType
 
 from budgetstar.model import DIMENSIONS, FACT, FACT_COLUMNS, FACT_SCHEMA, YEAR_CUTOFF, Star
 
-SMALL_SCAN_SPLITS = 64
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """Deal a scan of few splits out over more tasks.
-
-    A small file is often one row group and would keep a single core busy. Only inputs of fewer
-    than 64 splits (some gigabytes) are moved; anything larger comes back unchanged.
-    """
-    tasks = min(SMALL_SCAN_SPLITS, table.sparkSession.sparkContext.defaultParallelism)
-    return table if table.rdd.getNumPartitions() >= tasks else table.repartition(tasks)
-
 
 def write_layer(
     table: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists"
@@ -46,14 +34,15 @@ def read_layer(spark: SparkSession, path: str, schema: StructType | None = None)
 def write_star(star: Star, folder: str, mode: str = "errorifexists") -> Star:
     """Gold tables; the fact is split by year and sorted by phase so both filters skip data.
 
-    The sort is local to each task, so writing the fact moves no rows between executors.
+    Rows are rebalanced by year before the write: AQE cuts large years into files of the advisory
+    partition size and puts small ones together, so the number of files follows the bytes and not
+    the number of tasks times the number of years.
     """
     spark = star.fact.sparkSession
     for dimension in DIMENSIONS:
         write_layer(star.dim(dimension.name), f"{folder}/{dimension.table}", mode=mode)
-    write_layer(
-        star.fact.sortWithinPartitions("anio", "fase"), f"{folder}/{FACT}", partition_by=["anio"], mode=mode
-    )
+    dealt = star.fact.hint("rebalance", "anio").sortWithinPartitions("anio", "fase")
+    write_layer(dealt, f"{folder}/{FACT}", partition_by=["anio"], mode=mode)
     return read_star(spark, folder, star.cutoff)
 
 

@@ -10,34 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 _scratch: list[tempfile.TemporaryDirectory] = []
 
 
-def shared_root(spark: SparkSession) -> str | None:
+def shared_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 
-    Where it is unset, a local session gets a folder that goes with the process; a cluster session
-    gets None, because a folder of one machine would be of no use to the others.
+    Where it is unset, a local session gets a folder that goes with the process. On a cluster the
+    setting is required: a folder of one machine would be of no use to the others, and working
+    without one would repeat every intermediate result.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and spark.sparkContext.master.startswith("local"):
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors can reach")
         if not _scratch:
             _scratch.append(tempfile.TemporaryDirectory(prefix="budgetstar-"))
         root = _scratch[0].name
     return root
 
 
-def application_folder(spark: SparkSession) -> str | None:
-    root = shared_root(spark)
-    return None if root is None else f"{root}/budgetstar/{spark.sparkContext.applicationId}"
+def application_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/budgetstar/{spark.sparkContext.applicationId}"
 
 
 def cut_lineage(table: DataFrame) -> DataFrame:
     """The table written to the shared folder and read back.
 
     Several passes then read one result, only the columns and rows they need, and a lost executor
-    costs nothing. Without a shared folder the table stays as it is and is recomputed.
+    costs nothing. ``drop_intermediate`` removes what an application has left there.
     """
-    folder = application_folder(table.sparkSession)
-    if folder is None:
-        return table
-    path = f"{folder}/kept-{uuid.uuid4().hex[:12]}"
+    path = f"{application_folder(table.sparkSession)}/kept-{uuid.uuid4().hex[:12]}"
     table.write.option("compression", "zstd").parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete all layers and kept tables of this application; results read from them end with it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -23,10 +23,14 @@ def stage_counts(log: DataFrame) -> DataFrame:
 
 
 def write_stage_counts(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest counts in a Parquet table; each batch writes its own folder."""
+    """Keep the latest counts in a Parquet table, one row per stage.
+
+    Every batch holds the counts since the beginning and replaces the table; they are few, so they
+    are written by one task, and a repeated batch writes the same rows.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        batch.coalesce(1).write.mode("overwrite").parquet(target)
 
     return (
         stage_counts(log)

@@ -66,6 +66,8 @@ for name, rename in (("bronze_ingest", header), ("clean_columns", str)):
     columns = [f'{padded(c)} AS "{rename(c)}"' for c in ALL_TEXT]
     columns += [f'{amount_text(p, y)} AS "{rename(c)}"' for c, p, y in CELLS]
     ORACLES[name] = on_star(f"SELECT {', '.join(columns)} FROM raw_wide")
+ORACLES["bronze_glob"] = ORACLES["bronze_incremental"] = ORACLES["bronze_ingest"]
+ORACLES["bronze_ingest"] += " WHERE ln % 2 = 0"
 
 ORACLES["clean_silver"] = on_star(
     "SELECT "
@@ -78,7 +80,7 @@ ORACLES["schema_dictionary"] = on_star(
     " UNION ALL ".join(
         [f"SELECT '{c}' AS variable, 'string' AS data_type, count({c}) AS readable FROM raw_wide" for c in ALL_TEXT]
         + [
-            f"SELECT '{c}', 'double', count(CASE WHEN ln % 5 <> 0 THEN {cell(p, y)} END) FROM raw_wide"
+            f"SELECT '{c}', 'decimal(18,2)', count(CASE WHEN ln % 5 <> 0 THEN {cell(p, y)} END) FROM raw_wide"
             for c, p, y in CELLS
         ]
     )
@@ -111,6 +113,9 @@ ORACLES["fk_orphans"] = on_star(
         for d in DIMENSIONS
     )
 )
+ORACLES["parquet_round_trip"] = on_star(
+    f"SELECT anio, fase, count(*) AS n, {dbl('sum(monto)')} AS total FROM fact GROUP BY anio, fase"
+)
 ORACLES["register_star"] = on_star(
     f"""SELECT departamento_ejecutora_nombre AS department, fase, count(*) AS n, {dbl('sum(monto)')} AS total
     FROM fact JOIN dim_geografia USING ({GEO}) GROUP BY 1, 2"""
@@ -169,9 +174,9 @@ ORACLES["phase_totals"] = on_flat(f"SELECT {dbl(PIM)} AS pim, {dbl(DEV)} AS deve
 _PIA = "sum(CASE WHEN fase = 'pia' THEN monto ELSE 0 END)"
 _GIR = "sum(CASE WHEN fase = 'girado' THEN monto ELSE 0 END)"
 ORACLES["execution_rate"] = on_flat(
-    f"""SELECT line, {rate(_GIR, _PIA)} AS rate_or_zero,
+    f"""SELECT anio, line, {rate(_GIR, _PIA)} AS rate_or_zero,
       {dbl(_GIR)} / nullif({dbl(_PIA)}, 0) * 100.0 AS rate_or_null
-    FROM open_flat WHERE anio = {YEAR} GROUP BY line"""
+    FROM open_flat GROUP BY anio, line"""
 )
 ORACLES["join_pruning"] = on_flat(
     f"""SELECT anio, {dbl(PIM)} AS pim, {dbl(DEV)} AS devengado
@@ -189,18 +194,18 @@ ORACLES["currency_label"] = on_flat(
       SELECT 'largest', sector, CAST(max(monto) AS DECIMAL(24,2)) FROM open_flat GROUP BY sector)"""
 )
 ORACLES["execution_tier"] = on_flat(
-    f"""SELECT name, r AS rate,
+    f"""SELECT anio, name, r AS rate,
       CASE WHEN r >= 75 THEN 'success' WHEN r >= 40 THEN 'warning' ELSE 'danger' END AS tier, r - 75.0 AS target_gap
-    FROM (SELECT unit AS name, {rate(_GIR, PIM)} AS r FROM open_flat WHERE anio = {YEAR} GROUP BY unit)"""
+    FROM (SELECT anio, unit AS name, {rate(_GIR, PIM)} AS r FROM open_flat GROUP BY anio, unit)"""
 )
 ORACLES["measure_catalog"] = on_flat(
     f"""SELECT 'financing_year-level' AS grain, source AS fuente_financiamiento_nombre, anio,
       n AS monto_count, {dbl('s')} AS monto_sum, {dbl('lo')} AS monto_min, {dbl('hi')} AS monto_max,
       {dbl("CAST(s::DOUBLE / n AS DECIMAL(28,3))")} AS monto_avg,
-      {dbl("CAST(sqrt(v) AS DECIMAL(28,3))")} AS monto_stddev,
-      {dbl("CAST(v AS DECIMAL(28,3))")} AS monto_variance, fases
+      {dbl("CAST(dev AS DECIMAL(28,3))")} AS monto_stddev,
+      {dbl("CAST(v AS DECIMAL(28,0))")} AS monto_variance, fases
     FROM (SELECT source, anio, count(*) AS n, sum(monto) AS s, min(monto) AS lo, max(monto) AS hi,
-        (sum(monto * monto)::DOUBLE - sum(monto)::DOUBLE * sum(monto)::DOUBLE / count(*)) / (count(*) - 1.0) AS v,
+        var_samp(monto::DOUBLE) AS v, stddev_samp(monto::DOUBLE) AS dev,
         string_agg(DISTINCT fase, ',' ORDER BY fase) AS fases
       FROM open_flat GROUP BY source, anio)"""
 )
@@ -251,6 +256,11 @@ ORACLES["programmatic_allocation"] = on_flat(
 )
 
 
+def planned(tag: str, column: str, limit: str = "") -> str:
+    return f"""SELECT * FROM (SELECT '{tag}' AS breakdown, {column} AS name, {dbl(PIM)} AS amount
+      FROM open_flat GROUP BY {column} ORDER BY {PIM} DESC NULLS LAST, {column} NULLS LAST {limit})"""
+
+
 def both_phases(output: str, column: str, condition: str = "true", tag: str = "") -> str:
     return f"""SELECT {tag}{column} AS {output}, {dbl(PIM)} AS pim, {dbl(DEV)} AS devengado
       FROM open_flat WHERE {condition} GROUP BY {column}"""
@@ -405,6 +415,11 @@ def audit_lines() -> list[str]:
             lines.append(f"SELECT '{table}', 'column', '{c}', '{kind}'")
             if c.startswith("sk_"):
                 lines.append(f"SELECT '{table}', 'distinct', '{c}', CAST(count(DISTINCT {c}) AS VARCHAR) FROM {cte}")
+    # As text in column order, NULL as ~; the first ten by md5.
+    tables["fact_presupuesto"] = ([*KEYS, "anio", "fase", "monto"], "fact")
+    for table, (columns, cte) in tables.items():
+        row = f"concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)})"
+        lines.append(f"SELECT * FROM (SELECT '{table}', 'preview', '*', v FROM (SELECT {row} AS v FROM {cte}) ORDER BY md5(v), v LIMIT 10)")
     return lines
 
 
@@ -472,7 +487,9 @@ ORACLES["entity_sample"] = on_sample("SELECT * EXCLUDE (pos) FROM picked")
 ORACLES["sample_facts"] = on_sample(f"SELECT {KEY_LIST}, anio, fase, {dbl('monto')} AS monto FROM sampled")
 ORACLES["sample_dims"] = on_sample(
     " UNION ALL ".join(
-        f"SELECT 'dim_{d}' AS table_name, sk_{d}_id AS sk, {codes[0]} AS code FROM some_{d}" for d, (_, codes) in DIMENSIONS.items()
+        f"""SELECT 'dim_{d}' AS table_name, sk_{d}_id AS sk,
+          concat_ws('|', {', '.join(f"coalesce({c}, '~')" for c in columns)}) AS member FROM some_{d}"""
+        for d, (columns, _) in DIMENSIONS.items()
     )
 )
 ORACLES["sample_integrity"] = on_sample(
@@ -506,90 +523,36 @@ ORACLES["star_flat_sample"] = on_star(
     f"chosen AS (SELECT * FROM fact ORDER BY md5(concat_ws('|', {_FACT_TEXT})), {KEY_LIST}, anio, fase, monto LIMIT 500)",
 )
 
-# --- question and log jobs: expected results typed by hand, one line per template -----------------
+# --- question and log jobs: computed from the columns the texts are made of ------------------------
 
 _SPLIT = (
     "WARNING: This question spans multiple dimension families. You MUST decompose it into separate sub-queries "
     "connected via CTEs (WITH ... AS (...)). Do NOT group by columns from different dimension families in a single SELECT."
 )
 _ONE = "GROUP BY must stay within one dimension family plus optionally year."
-_EXPECTED_GRAINS = [
-    "geography",
-    "financing",
-    "economic",
-    "institution",
-    "program",
-    "project",
-    "geography+year",
-    "financing,geography",
-    "economic,financing+year",
-    "scalar",
-    "year",
-    "geography+year",
-    "scalar",
-    "geography,institution",
-    "geography,institution",
-    "geography,institution",
-    "activity",
-    "function",
-    "scalar",
-    "scalar",
-    "geography+year",
-    "institution+year",
-    "institution+year",
-    "financing+year",
-]
-
-
-def grain_line(slot: int, expected: str) -> str:
-    families, _, year = expected.partition("+")
-    if expected == "year":
-        families, year = "", "year"
-    names = [f"{f}-level" for f in families.split(",") if f and f != "scalar"]
-    detected = ",".join(sorted(names + (["year-level"] if year else []))) or "scalar"
-    valid = len(names) <= 1
-    primary = (names[0] if names else "year-level" if year else "scalar") if valid else None
-    composite = primary.replace("-level", "_year-level") if valid and names and year else primary
-    rule = _SPLIT if not valid else "Aggregate all rows without GROUP BY." if primary == "scalar" else f"Analytical grain: {composite}. {_ONE}"
-
-    def lit(v: str | None) -> str:
-        return "CAST(NULL AS VARCHAR)" if v is None else f"'{v}'"
-
-    return f"({slot}, '{detected}', {lit(primary)}, {lit(composite)}, {bool(year)}, {valid}, {not valid}, '{rule}')"
-
-
-ORACLES["tag_question_grain"] = f"""SELECT o_orderkey AS question_id, e.* EXCLUDE (slot)
-FROM orders JOIN (VALUES {', '.join(grain_line(i, g) for i, g in enumerate(_EXPECTED_GRAINS))})
-  e(slot, detected_grains, primary_grain, composite_grain, has_year, is_valid, needs_decomposition, "constraint")
-  ON o_orderkey % {len(_EXPECTED_GRAINS)} = e.slot"""
-
-# statements, forbidden words, verdict, number of grouped fields, grouped fields
-_EXPECTED_LOG = [
-    (1, "", "accepted", 0, ""),
-    (1, "", "accepted", 1, "a"),
-    (1, "", "accepted", 0, ""),
-    (1, "", "accepted", 1, "id"),
-    (1, "DELETE", "not_select", 0, ""),
-    (1, "UPDATE", "not_select", 0, ""),
-    (1, "INSERT", "not_select", 0, ""),
-    (1, "DROP", "not_select", 0, ""),
-    (2, "DROP", "not_single_statement", 0, ""),
-    (1, "DELETE", "forbidden_keyword", 0, ""),
-    (1, "DELETE", "forbidden_keyword", 0, ""),
-    (1, "", "accepted", 0, ""),
-    (1, "", "accepted", 1, "fase;"),
-    (1, "", "accepted", 1, "sector_nombre having count(*) > 1"),
-    (1, "", "accepted", 1, '"truncate"'),
-    (0, "", "not_single_statement", 0, ""),
-]
-_LOG_ROWS = ", ".join(
-    f"({i}, {n}, '{words}', {verdict == 'accepted'}, '{verdict}', {k}, '{fields}')"
-    for i, (n, words, verdict, k, fields) in enumerate(_EXPECTED_LOG)
-)
-_LOG_JOIN = f"""FROM orders JOIN (VALUES {_LOG_ROWS})
-  e(slot, statements, forbidden_words, is_accepted, verdict, n_fields, group_fields) ON o_orderkey % {len(_EXPECTED_LOG)} = e.slot"""
-ORACLES["audit_query_log"] = f"SELECT o_orderkey AS query_id, statements, forbidden_words, is_accepted, verdict {_LOG_JOIN}"
-ORACLES["trace_group_fields"] = f"SELECT o_orderkey AS query_id, n_fields, group_fields {_LOG_JOIN}"
+ORACLES["tag_question_grain"] = f"""WITH asked AS (
+  SELECT o_orderkey AS question_id, o_orderkey % 3 = 0 AS has_year,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'geography-level' WHEN '2-HIGH' THEN 'institution-level'
+      WHEN '3-MEDIUM' THEN 'program-level' WHEN '4-NOT SPECIFIED' THEN 'financing-level' END AS a,
+    CASE o_orderstatus WHEN 'O' THEN 'project-level' WHEN 'P' THEN 'economic-level' END AS b FROM orders),
+counted AS (SELECT *, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT AS n, coalesce(a, b) AS family FROM asked),
+graded AS (SELECT *, CASE WHEN n > 1 THEN NULL WHEN n = 1 THEN family WHEN has_year THEN 'year-level' ELSE 'scalar' END AS primary_grain,
+  concat_ws(',', CASE WHEN a < b THEN a ELSE b END, CASE WHEN a < b THEN b ELSE a END, CASE WHEN has_year THEN 'year-level' END) AS found FROM counted),
+composed AS (SELECT *, CASE WHEN n = 1 AND has_year THEN replace(primary_grain, '-level', '_year-level') ELSE primary_grain END AS composite_grain FROM graded)
+SELECT question_id, CASE WHEN coalesce(found, '') = '' THEN 'scalar' ELSE found END AS detected_grains, primary_grain, composite_grain, has_year,
+  n <= 1 AS is_valid, n > 1 AS needs_decomposition,
+  CASE WHEN n > 1 THEN '{_SPLIT}' WHEN primary_grain = 'scalar' THEN 'Aggregate all rows without GROUP BY.'
+    ELSE 'Analytical grain: ' || composite_grain || '. {_ONE}' END AS "constraint"
+FROM composed"""
+_FORM = "doc_id % 6"
+ORACLES["audit_query_log"] = f"""SELECT doc_id AS query_id, CASE WHEN {_FORM} = 3 THEN 2 ELSE 1 END AS statements,
+  CASE {_FORM} WHEN 2 THEN 'DELETE' WHEN 3 THEN 'DROP' WHEN 5 THEN 'UPDATE' ELSE '' END AS forbidden_words,
+  {_FORM} IN (0, 1, 4) AS is_accepted,
+  CASE {_FORM} WHEN 2 THEN 'not_select' WHEN 3 THEN 'not_single_statement' WHEN 5 THEN 'forbidden_keyword' ELSE 'accepted' END AS verdict
+FROM documents"""
+ORACLES["trace_group_fields"] = f"""SELECT doc_id AS query_id, CASE {_FORM} WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS n_fields,
+  CASE {_FORM} WHEN 0 THEN lang WHEN 1 THEN '`' || source || '`|date_trunc(''y'', d)' WHEN 4 THEN source ELSE '' END AS group_fields
+FROM documents"""
 
 _STAGES = """stages AS (
   SELECT 'INTENT_PARSING' AS stage, false AS failed, CAST(1 AS DECIMAL(14,2)) AS ms FROM events
@@ -608,3 +571,31 @@ ORACLES["trace_failures"] = """SELECT failure_type, count(*) AS queries, count(D
       THEN CASE event_id % 3 WHEN 0 THEN 'SQL_SYNTAX_ERROR' WHEN 1 THEN 'MISSING_GROUP_BY' ELSE 'DATA_JOIN_MISMATCH' END
     WHEN event_id % 4 = 0 THEN 'EMPTY_RESULT_SET' END AS failure_type FROM events)
 WHERE failure_type IS NOT NULL GROUP BY failure_type"""
+
+# --- exact forms next to sketches and metadata -----------------------------------------------------
+
+ORACLES["trace_stage_stats_approx"] = f"""SELECT stage, runs, p50_ms, p95_ms, true AS within_tolerance FROM ({ORACLES['trace_stage_stats']})"""
+ORACLES["report_sector_projects_approx"] = f"""SELECT government_sector,
+  CAST(replace(estimated_project_count, ',', '') AS BIGINT) AS exact, true AS within_tolerance FROM ({ORACLES['report_sector_projects']})"""
+_SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+ORACLES["layer_storage"] = on_star(
+    " UNION ALL ".join(
+        [f"SELECT 'source/{t}' AS layer, count(*) AS rows, true AS is_stored FROM {t}" for t in _SOURCES]
+        + ["SELECT 'silver', count(*), true FROM raw_wide", "SELECT 'gold/fact_presupuesto', count(*), true FROM fact"]
+        + [f"SELECT 'gold/dim_{d}', count(*), true FROM dim_{d}" for d in DIMENSIONS]
+    )
+)
+ORACLES["dashboard_unfiltered"] = on_flat(
+    " UNION ALL ".join(
+        [planned(f"top {c}", n, "LIMIT 10") for c, n in (("sector_nombre", "sector"), ("departamento_ejecutora_nombre", "department"))]
+        + [
+            planned(f"variance {c}", n)
+            for c, n in (("sector_nombre", "sector"), ("departamento_ejecutora_nombre", "department"), ("nivel_gobierno_nombre", "level"))
+        ]
+        + [
+            planned(f"program {c}", n, "LIMIT 10")
+            for c, n in (("programa_ppto_nombre", "program"), ("producto_proyecto_nombre", "project"), ("funcion_nombre", "funcion"))
+        ]
+        + [planned("economic", "generica"), planned("financing", "source")]
+    )
+)

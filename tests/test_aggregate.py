@@ -9,7 +9,7 @@ from budgetstar.operators.aggregate import (
     Measure,
     aggregate,
     guard_year,
-    join_plan,
+    owners,
     phase_total,
 )
 from budgetstar.operators.grain import (
@@ -145,8 +145,8 @@ def test_contains_filter_takes_text_not_patterns(spark):
 
 
 def test_only_owning_dimensions_are_joined(star):
-    assert [n for n, used in join_plan([]).items() if used] == []
-    assert [n for n, used in join_plan(["rubro"], Filters(sector="X")).items() if used] == ["institucion", "financiamiento"]
+    assert owners([]) == []
+    assert [d.name for d in owners(["rubro", *Filters(sector="X").labels()])] == ["institucion", "financiamiento"]
     plan = dashboard.economic_composition(star)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
     assert dashboard.kpis(star)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
@@ -165,6 +165,26 @@ def test_moments_match_plain_statistics(spark):
     assert aggregate(single, {"v": Measure("variance")}, {"y": "anio"}).first().v is None
 
 
+@pytest.mark.parametrize("by", [{}, {"y": "anio"}, {"d": "departamento_ejecutora_nombre"}])
+def test_variance_of_near_equal_billions(spark, by):
+    amounts = ["9000000000.00", "9000000000.01", "9000000000.02", "9000000000.03"]
+    star = tiny_star(spark, [(1, 2024, "pim", a) for a in amounts], PLACES)
+    row = aggregate(star, {"v": Measure("variance"), "n": Measure("count")}, by).first()
+    assert row.v == pytest.approx(1.6667e-4, rel=0.01) and row.n == 4
+
+
+def test_variance_of_the_largest_amounts(spark):
+    star = tiny_star(spark, [(1, 2024, "pim", "9999999999999999.99")] * 200, PLACES)
+    assert aggregate(star, {"v": Measure("variance")}, {"y": "anio"}).first().v == pytest.approx(0, abs=100)
+
+
+def test_label_filters_cut_the_fact_before_it_is_summed(layers):
+    text = dashboard.kpis(layers.star, Filters(department="ASIA"))._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x.strip(" :+-") for x in text.splitlines()]
+    semi = next(i for i, x in enumerate(lines) if x.startswith("Join LeftSemi"))
+    assert any(x.startswith("Aggregate [sk_geografia_id") for x in lines[:semi])
+
+
 def test_lists_are_limited_to_small_domains(star):
     row = aggregate(star, {"a": Measure("array_agg", column="fase")}, {"anio": "anio"}).where(F.col("anio") == 2024).first()
     assert row.a == ["devengado", "girado", "pim"]

@@ -61,9 +61,7 @@ def test_key_audits(wide):
     assert sorted((r.key_value, r.repetitions) for r in quality.duplicate_keys(wide).collect()) == [("a", 2), ("c", 2), ("d", 2)]
 
 
-@pytest.mark.parametrize("hot_keys", [50_000, 2, 0])
-def test_repeated_keys_whether_hot_or_not(wide, monkeypatch, hot_keys):
-    monkeypatch.setattr(quality, "MAX_HOT_KEYS", hot_keys)
+def test_repeated_keys(wide):
     diff = {r.key_value: r.differing_columns for r in quality.duplicate_key_diff(wide).collect()}
     assert diff == {"a": "name,pim_2024", "c": "", "d": "name,pim_2023"}
     sums = sorted((r.key_value, r.column_name, r.total) for r in quality.duplicate_key_amounts(wide).collect())
@@ -101,6 +99,37 @@ def test_storage_counts_rows_of_stored_files(spark, layers):
     assert rows["source/lineitem"].files == 1 and rows["source/lineitem"].bytes > 0
 
 
+def test_one_key_with_a_third_of_all_rows(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 1000, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key_value"),
+        F.when(F.col("id") == 17, F.lit(None)).otherwise(F.lit("same")).alias("name"),
+        F.lit("x").alias("other"),
+        F.lit(1).cast("decimal(18,2)").alias("pim_2024"),
+    )
+    found = quality.duplicate_key_diff(rows).collect()
+    assert [tuple(r) for r in found] == [("hot", 1000, 1, "name")]
+    assert [tuple(r) for r in quality.duplicate_key_amounts(rows).collect()] == [("hot", "pim_2024", 1000.0)]
+
+
+def scans(frame, column):
+    """File scans of the physical plan that read a column."""
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    return sum("FileScan" in line and column in line.split("ReadSchema")[-1] for line in text.splitlines())
+
+
+def test_audits_read_the_fact_once(layers):
+    from budgetstar.operators.star import fk_orphans
+
+    assert scans(fk_orphans(layers.star), "sk_geografia_id:bigint,sk_institucion_id") == 1
+    assert scans(quality.table_audit(layers.star), "sk_geografia_id:bigint,sk_institucion_id") <= 2
+    assert scans(quality.sample_gates(layers.star, 10), "monto") == 0  # reads the written summary only
+
+
+def test_preview_is_the_same_on_every_run(spark, layers):
+    first = [r.value for r in quality.preview(layers.star.fact, 5).collect()]
+    assert first == [r.value for r in quality.preview(layers.star.fact.repartition(7), 5).collect()] and len(first) == 5
+
+
 def test_year_range_and_preview(spark):
     star = tiny_star(spark, [(1, 2022, "pim", 5), (1, 2025, "pim", 6)], [(1, "LIMA")])
     assert tuple(quality.fact_year_range(star.fact).first()) == (2022, 2025)

@@ -12,6 +12,7 @@ from budgetstar.operators.quality import (
     region_pim_share,
     sample_gates,
 )
+from budgetstar.operators import sampling
 from budgetstar.operators.sampling import (
     entity_sizes,
     require_intact,
@@ -76,6 +77,24 @@ def test_all_entities_in_one_bucket(spark):
     assert picked == plain_loop(list(enumerate(sizes, 1)), 333)
 
 
+@pytest.mark.parametrize("most", [1, 7, 50])
+def test_ranges_are_narrowed_until_few_entities_are_left(spark, monkeypatch, most):
+    monkeypatch.setattr(sampling, "ORDERED_ROWS", most)
+    sizes = [random.Random(5).randint(1, 9) for _ in range(150)]
+    assert chosen(spark, sizes, 333) == plain_loop(list(enumerate(sizes, 1)), 333)
+
+
+def test_steps_on_skewed_sizes(spark, monkeypatch):
+    steps = []
+    step = sampling._first_crossing
+    monkeypatch.setattr(sampling, "_first_crossing", lambda *a: steps.append(a) or step(*a))
+    rng = random.Random(11)
+    sizes = [int(rng.paretovariate(0.8)) for _ in range(400)]
+    target = sum(sizes) // 2
+    assert chosen(spark, sizes, target) == plain_loop(list(enumerate(sizes, 1)), target)
+    assert len(steps) <= len(set(sizes)) + 1
+
+
 def test_one_giant_entity_among_small_ones(spark):
     sizes = [1] * 50 + [1_000_000] + [2] * 50
     assert chosen(spark, sizes, 121) == plain_loop(list(enumerate(sizes, 1)), 121)
@@ -89,7 +108,7 @@ def test_sample_of_the_star_keeps_whole_entities(spark, layers):
     )
     entities = select_entities(sizes, 777)
     assert sorted(loop) == sorted(tuple(r[k] for k in ENTITY_KEYS) for r in entities.collect())
-    sample = sample_facts(fact, entities, 777, years)
+    sample = sample_facts(fact, entities, years)
     row = sample_integrity(sample, entities).first()
     assert row.broken_entities == 0 and row.observed_facts == sample.count() <= 777
     require_intact(sample, entities)
@@ -97,10 +116,10 @@ def test_sample_of_the_star_keeps_whole_entities(spark, layers):
         require_intact(sample.where(F.col("fase") != "pim"), entities)
 
 
-def test_large_targets_join_without_a_broadcast_hint(spark, layers):
+def test_a_target_beyond_the_fact_keeps_all_of_it(spark, layers):
     fact = layers.star.fact
     entities = select_entities(entity_sizes(fact), 10_000_000)
-    assert sample_facts(fact, entities, 10_000_000).count() == fact.count()
+    assert sample_facts(fact, entities).count() == fact.count()
 
 
 def test_order_is_md5_of_the_joined_keys(spark):

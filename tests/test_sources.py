@@ -1,11 +1,16 @@
+from decimal import Decimal
+
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from budgetstar.model import cell_columns
 from budgetstar.operators import sampling
 from budgetstar.plans.pipeline import executive_reports, run_pipeline
 from budgetstar.sources import fixture
 from budgetstar.sources.bronze import (
+    UnknownColumnsError,
     apply_dictionary,
     ingest_csv,
     scan_csv,
@@ -39,16 +44,16 @@ def test_missing_files_raise(spark, tmp_path):
 
 def test_dictionary_forces_text(spark):
     words = spark.createDataFrame([("code", " Carácter "), ("amount", "Numérico")], "VARIABLE string, TIPO_DATO string")
-    assert schema_from_dictionary(words, ["code", "amount"]).simpleString() == "struct<code:string,amount:double>"
+    assert schema_from_dictionary(words, ["code", "amount"]).simpleString() == "struct<code:string,amount:decimal(18,2)>"
     source = spark.createDataFrame([("007", "1.5"), ("008", "x")], "code string, amount string")
-    assert [tuple(r) for r in apply_dictionary(source, words).collect()] == [("007", 1.5), ("008", None)]
+    assert [tuple(r) for r in apply_dictionary(source, words).collect()] == [("007", Decimal("1.50")), ("008", None)]
 
 
 def test_dictionary_schema_on_read_is_permissive(spark, tmp_path):
     (tmp_path / "a.csv").write_text("code,amount\n007,1.5\n008,x\n", encoding="utf-8")
     words = spark.createDataFrame([("code", "Carácter")], "VARIABLE string, TIPO_DATO string")
     table = scan_csv(spark, str(tmp_path / "a.csv"), schema_from_dictionary(words, ["code", "amount"]))
-    assert [tuple(r) for r in table.collect()] == [("007", 1.5), ("008", None)]
+    assert [tuple(r) for r in table.collect()] == [("007", Decimal("1.50")), ("008", None)]
 
 
 def test_star_round_trip_and_views(spark, layers, tmp_path):
@@ -62,19 +67,43 @@ def test_star_round_trip_and_views(spark, layers, tmp_path):
         write_star(layers.star, folder)
 
 
+def test_quoted_line_breaks_and_quotes_stay_in_their_field(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"two\nlines"\n2,"say ""hi"""\n', encoding="utf-8")
+    assert sorted(tuple(r) for r in scan_csv(spark, str(tmp_path / "a.csv")).collect()) == [("1", "two\nlines"), ("2", 'say "hi"')]
+
+
+def test_columns_meet_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("v,k\ny,2\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("extra,k,v\ne,3,z\n", encoding="utf-8")
+    table = scan_csv(spark, str(tmp_path))
+    assert sorted((r.k, r.v, r.extra) for r in table.collect()) == [("1", "x", None), ("2", "y", None), ("3", "z", "e")]
+    with pytest.raises(UnknownColumnsError, match="c.csv: extra"):
+        scan_csv(spark, str(tmp_path), KEY_AND_VALUE)
+    part = scan_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], KEY_AND_VALUE)
+    assert sorted(tuple(r) for r in part.collect()) == [("1", "x"), ("2", "y")]
+
+
+KEY_AND_VALUE = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())])
+
+
 def test_incremental_ingest_reads_each_file_once(spark, tmp_path):
     source, target, marks = (tmp_path / n for n in ("in", "out", "marks"))
     source.mkdir()
     (source / "a.csv").write_text(" k ,v\n1,x\n2,y\n", encoding="utf-8")
 
     def run():
-        ingest_incremental(spark, str(source), str(target), str(marks)).awaitTermination(120)
-        return sorted(r.k for r in spark.read.parquet(str(target)).collect())
+        ingest_incremental(spark, str(source), str(target), str(marks), KEY_AND_VALUE).awaitTermination(120)
+        return sorted((r.k, r.v) for r in spark.read.parquet(str(target)).collect())
 
-    assert run() == ["1", "2"]
-    assert run() == ["1", "2"]
-    (source / "b.csv").write_text(" k ,v\n3,z\n", encoding="utf-8")
-    assert run() == ["1", "2", "3"]
+    assert run() == [("1", "x"), ("2", "y")]
+    assert run() == [("1", "x"), ("2", "y")]
+    (source / "b.csv").write_text("v, k\nz,3\n", encoding="utf-8")
+    assert run() == [("1", "x"), ("2", "y"), ("3", "z")]
+    (source / "c.csv").write_text("extra,k,v\ne,4,w\n", encoding="utf-8")
+    with pytest.raises(StreamingQueryException, match="extra"):
+        run()
+    assert spark.read.parquet(str(target)).count() == 3
 
 
 def _budget_csv(spark, tmp_path, layers):
@@ -101,7 +130,7 @@ def test_sample_exports(spark, layers, tmp_path):
     assert back.count() == 20 and not [c for c in back.columns if c.startswith("sk_")]
     sizes = sampling.entity_sizes(layers.star.fact, [1998])
     chosen = sampling.select_entities(sizes, 100)
-    sample = sampling.sample_star(layers.star, chosen, 100, [1998])
+    sample = sampling.sample_star(layers.star, chosen, [1998])
     sampling.write_manifest(sampling.sample_manifest(sample, chosen, 100, [1998]), str(tmp_path / "manifest"))
     manifest = spark.read.json(str(tmp_path / "manifest")).first()
     assert manifest.fact_rows == sample.fact.count() and manifest.years == "1998"
