@@ -20,7 +20,9 @@ from budgetstar.llm import (
     token_files,
     toxicity,
 )
+from budgetstar.llm.oracles import ORACLES
 
+__all__ = ["ORACLES", "QUERIES"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -88,4 +90,3 @@ QUERIES: dict[str, Query] = {
         op10_near_join,
     )
 }
-ORACLES: dict[str, str] = {}
