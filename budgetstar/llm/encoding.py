@@ -1,21 +1,35 @@
-"""Token ids of whole texts, segment by segment, with the tokenizers library."""
+"""Token ids of whole texts, piece by piece, with the tokenizers library."""
 
 from __future__ import annotations
 
 import os
+import re
+import string
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from budgetstar.llm.text import segments
+from budgetstar.llm.text import kept_by_worker, segments
 
-SEGMENTS = 300_000  # encoded segments that a task remembers
+PIECES = 1_000_000  # encoded pieces that a worker remembers, about 200 MB
+JOINED = 256  # new pieces that are encoded in one text, with a special string between them
+
+# A run of Latin letters ends before ASCII punctuation in any public pattern.
+_MARKS, _LATIN_END = string.punctuation, "ɐ"
+_WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_COMBINING = "\\x{300}-\\x{36f}"  # lower case and composition do not commute behind some letters
 
 
 class SegmentEncoder:
-    """Ids as little-endian bytes; equal to encoding the whole text at once.
+    """Ids of texts; equal to encoding each whole text at once.
 
-    Texts are cut where white space follows anything else, which no pre-token spans, so segments
-    seen before cost one look-up.
+    Texts are cut where white space follows anything else, which no pre-token spans. A batch is cut
+    and its pieces are numbered in Arrow, so Python only sees distinct pieces, and the library only
+    those that are new. In the table of known pieces a piece behind a blank stands without it; a
+    piece that starts otherwise is marked by a leading line feed of its own or a carriage return.
+    Texts in which this marking could mislead (two white spaces in a row, carriage returns, special
+    strings) are cut by an expression instead.
     """
 
     def __init__(self, path: str) -> None:
@@ -27,21 +41,107 @@ class SegmentEncoder:
         self.tokenizer.no_padding()
         highest = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.dtype = np.dtype("<u2" if highest < 1 << 16 else "<u4")
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        normalizer = self.tokenizer.normalizer
+        self.folds = normalizer is not None and normalizer.normalize_str("ABC") == "abc"
+        odd = [f"[{_WHITE}]{{2}}", "\\r", *([f"[{_COMBINING}]"] if self.folds else []), *map(re.escape, self.special)]
+        self.odd = "|".join(odd)
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        listed = [segments(t) for t in texts]
-        new = {s for parts in listed for s in parts if s not in self.known}
-        if len(self.known) + len(new) > SEGMENTS:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string column without nulls."""
+        texts = texts.cast(pa.large_string())
+        shown = pc.ascii_lower(texts) if self.folds else texts
+        odd = pc.match_substring_regex(shown, self.odd).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [None] * len(texts)
+        usual = np.flatnonzero(~odd)
+        for row, ids in zip(usual.tolist(), self._encode_usual(shown.take(pa.array(usual)))):
+            out[row] = ids
+        for row in np.flatnonzero(odd).tolist():
+            keys = ["\r" + s for s in segments(texts[row].as_py())]
+            out[row] = np.frombuffer(b"".join(self._values(keys)), self.dtype)
+        return out
+
+    def _encode_usual(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        first, nothing = (pa.scalar(s, pa.large_string()) for s in ("\r", ""))
+        marked = pc.binary_join_element_wise(first, pc.replace_substring(texts, "\n", " \n"), nothing)
+        parts = pc.split_pattern(marked, " ")
+        listed = parts.flatten().dictionary_encode()
+        values = self._values(listed.dictionary.to_pylist())
+        width = self.dtype.itemsize
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
+        flat = np.frombuffer(b"".join(values), self.dtype)
+        number = listed.indices.to_numpy(zero_copy_only=False)
+        taken = sizes[number]
+        ends = np.cumsum(taken)
+        first = (np.cumsum(sizes) - sizes)[number] - (ends - taken)
+        ids = flat[np.repeat(first, taken) + np.arange(ends[-1] if len(ends) else 0)]
+        borders = np.r_[0, ends][parts.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+
+    def _values(self, keys: list[str]) -> list[bytes]:
+        if len(self.known) > PIECES:
             self.known.clear()
-            new = {s for parts in listed for s in parts}
-        order = list(new)
-        for a in range(0, len(order), 4096):
-            encoded = self.tokenizer.encode_batch_fast(order[a : a + 4096], add_special_tokens=False)
-            self.known.update((s, np.array(e.ids, self.dtype).tobytes()) for s, e in zip(order[a : a + 4096], encoded))
-        get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in listed]
-
-    def ids(self, encoded: bytes, *more: int) -> np.ndarray:
-        """Ids as unsigned 32-bit numbers, with ``more`` appended."""
-        return np.concatenate([np.frombuffer(encoded, self.dtype), np.array(more, self.dtype)]).astype("<u4")
+        values = list(map(self.known.get, keys))
+        open_ = [i for i, v in enumerate(values) if v is None]
+        self._learn({keys[i] for i in open_})
+        for i in open_:
+            values[i] = self.known[keys[i]]
+        return values
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode new pieces; punctuation behind a word is encoded apart, so the word is known next time."""
+        known, whole, cut = self.known, [], []
+        for key in new:
+            word = key.rstrip(_MARKS)
+            if len(word) < len(key) and word and key[0] not in "\r\n" and word[-1] < _LATIN_END and word[-1].isalpha():
+                cut.append((key, word, "\r" + key[len(word) :]))
+            else:
+                whole.append(key)
+        parts = {p for _, word, marks in cut for p in (word, marks) if p not in known and p not in new}
+        self._ask(whole + list(parts))
+        for key, word, marks in sorted(cut, key=_length):  # a word may itself be one that was cut
+            known[key] = known[word] + known[marks]
+
+    def _ask(self, keys: list[str]) -> None:
+        texts = [k[1:] if k[:1] == "\r" else k if k[:1] == "\n" else f" {k}" for k in keys]
+        if not self.special:
+            self._ask_one_by_one(keys, texts)
+            return
+        (mark, number), *others = self.special.items()
+        groups, odd = [], []
+        for a in range(0, len(keys), JOINED):
+            joined = mark.join(texts[a : a + JOINED])
+            apart = joined.count(mark) == len(texts[a : a + JOINED]) - 1 and not any(o in joined for o, _ in others)
+            (groups if apart else odd).append((a, joined))
+        for a, _ in odd:
+            self._ask_one_by_one(keys[a : a + JOINED], texts[a : a + JOINED])
+        width = self.dtype.itemsize
+        for b in range(0, len(groups), 64):
+            encoded = self.tokenizer.encode_batch_fast([j for _, j in groups[b : b + 64]], add_special_tokens=False)
+            for (a, _), found in zip(groups[b : b + 64], encoded):
+                ids = np.array(found.ids, self.dtype)
+                borders = np.flatnonzero(ids == number)
+                starts, ends = np.r_[0, borders + 1] * width, np.r_[borders, len(ids)] * width
+                raw = ids.tobytes()
+                self.known.update((k, raw[x:y]) for k, x, y in zip(keys[a : a + JOINED], starts.tolist(), ends.tolist()))
+
+    def _ask_one_by_one(self, keys: list[str], texts: list[str]) -> None:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        self.known.update((k, np.array(e.ids, self.dtype).tobytes()) for k, e in zip(keys, encoded))
+
+
+def _length(entry: tuple[str, str, str]) -> int:
+    return len(entry[0])
+
+
+def encoder(path: str) -> SegmentEncoder:
+    """The encoder of this worker process for a tokenizer file."""
+    return kept_by_worker(f"encoder {path}", lambda: SegmentEncoder(path))
+
+
+def filled(column: pa.Array) -> pa.Array:
+    """A string column with nulls as empty texts."""
+    return pc.fill_null(column, "")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from budgetstar.llm.components import components
-from budgetstar.llm.text import pieces, plain, texts_of, unused, words
+from budgetstar.llm.text import kept_by_worker, pieces, plain, texts_of, unused, words
 from budgetstar.sources.shared import cut_lineage
 
 GRAM = 5  # words
@@ -100,7 +100,7 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 def _signatures(gram: int, bands: int, rows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = kept_by_worker("word hashes", WordHashes)
         for batch in pieces(batches, 1 << 20):
             sets = gram_sets(texts_of(batch.column("text")), known, gram)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -124,7 +124,7 @@ def _signatures(gram: int, bands: int, rows: int) -> Callable:
 
 def _sets(gram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = kept_by_worker("word hashes", WordHashes)
         for batch in pieces(batches, 1 << 20):
             sets = gram_sets(texts_of(batch.column("text")), known, gram)
             high, low = set_keys(sets)

@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetstar.llm.encoding import SegmentEncoder
-from budgetstar.llm.text import pieces, plain, texts_of
+from budgetstar.llm.encoding import encoder as encoder_of
+from budgetstar.llm.encoding import filled
+from budgetstar.llm.text import pieces, plain
 from budgetstar.sources.shared import cut_lineage
 
 LOT = 8192  # pieces that are packed together
@@ -94,12 +95,11 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, longest: int, key: str = "
     docs = plain(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SegmentEncoder(tokenizer)
-        for batch in pieces(batches):
-            texts = [t.decode("utf-8", "surrogatepass") for t in texts_of(batch.column("text"))]
+        encoder = encoder_of(tokenizer)
+        for batch in pieces(batches, 4 << 20):
             rows = []
-            for row, encoded in enumerate(encoder.encode(texts)):
-                ids = encoder.ids(encoded, end_id)
+            for row, encoded in enumerate(encoder.encode(filled(batch.column("text")))):
+                ids = np.append(encoded.astype("<u4"), np.uint32(end_id))
                 for at in range(0, len(ids), longest):
                     part = ids[at : at + longest]
                     rows.append((row, at // longest, at, len(part), zlib.crc32(part.tobytes())))

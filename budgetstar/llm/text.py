@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator, Sequence
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,3 +80,14 @@ def literal_rows(spark: SparkSession, rows: Sequence[dict], schema: str) -> Data
     """A small table known when the plan is built, as one SQL literal."""
     listed = F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{schema}>>")
     return spark.range(1).select(F.inline(listed))
+
+
+def kept_by_worker(key: object, make: Callable[[], object]) -> object:
+    """An object made once per Python worker process; Spark reuses a process for many tasks.
+
+    Meant for bounded caches whose content never changes a result.
+    """
+    held = sys.modules.setdefault("budgetstar_worker_state", types.ModuleType("budgetstar_worker_state"))
+    if key not in held.__dict__:
+        held.__dict__[key] = make()
+    return held.__dict__[key]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from budgetstar.llm.text import pieces, plain, texts_of
+from budgetstar.llm.text import kept_by_worker, pieces, plain, texts_of
 from budgetstar.llm.transducer import Counter, reduce_tree, scan
 
 CHUNK = 16_384  # characters
@@ -27,7 +27,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, key: str =
     docs = plain(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        counter = kept_by_worker(f"counter {tokenizer}", lambda: Counter(tokenizer))
         for batch in pieces(batches):
             raw = texts_of(batch.column("text"))
             counts = []

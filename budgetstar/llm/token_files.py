@@ -23,8 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from budgetstar.llm.encoding import SegmentEncoder
-from budgetstar.llm.text import pieces, plain, texts_of
+from budgetstar.llm.encoding import encoder as encoder_of
+from budgetstar.llm.encoding import filled
+from budgetstar.llm.text import pieces, plain
 from budgetstar.sources.shared import application_folder, cut_lineage
 
 # Fixed values of the seekable format.
@@ -171,19 +172,18 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     docs = plain(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, out = SegmentEncoder(tokenizer), None, None
+        encoder, writer, out = encoder_of(tokenizer), None, None
         store, root = open_store(folder)
         task = TaskContext.get()
         name = f"{root}/part-{task.partitionId():06d}"
         end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in pieces(batches):
+        for batch in pieces(batches, 4 << 20):
             if writer is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp")
                 writer = Writer(out, encoder.dtype.itemsize)
-            texts = [t.decode("utf-8", "surrogatepass") for t in texts_of(batch.column("text"))]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
-                writer.add(doc_id, ids + end)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(filled(batch.column("text")))):
+                writer.add(doc_id, ids.tobytes() + end)
         if writer is not None:
             writer.close()
             out.close()
