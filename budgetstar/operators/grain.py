@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from budgetstar.model import DIMENSIONS, FACT, FACT_COLUMNS, Star
 from budgetstar.operators.aggregate import Filters, Measure, aggregate, guard_year
+from budgetstar.sources.shared import cut_lineage
 
 # The eight dimension families and the columns that belong to each (code and label).
 FAMILY_CODES = {
@@ -139,9 +139,9 @@ def rank_then_follow(
 ) -> DataFrame:
     """Yearly measures of a few ranked members.
 
-    ``winners`` comes from a limit, one row per key, so its size is known when the plan is built:
-    it is broadcast once and the fact is cut to those keys where it is scanned.
+    ``winners`` comes from a limit, one row per key. It is worked out and written once; its
+    measured size decides how the fact is cut to those keys.
     """
-    chosen = F.broadcast(winners.select(key, label))
+    chosen = cut_lineage(winners.select(key, label))
     fact = guard_year(star.fact, star.cutoff).join(chosen, key)
     return aggregate(star.with_fact(fact), measures, {label: label, "anio": "anio"}, on_fact=[label])

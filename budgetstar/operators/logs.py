@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from budgetstar.functions.money import as_double
 from budgetstar.functions.text import stripped
+from budgetstar.sources.shared import cut_lineage
 
 # Words no logged statement may contain outside literals and comments.
 FORBIDDEN_WORDS = (
@@ -215,8 +216,8 @@ def duration_percentiles(stages: DataFrame, percents: Sequence[int]) -> DataFram
 
 
 def trace_stage_stats(log: DataFrame, percents: Sequence[int] = (50, 95), payload: str = "payload") -> DataFrame:
-    """Runs, failures and exact duration percentiles per stage."""
-    stages = trace_stages(log, payload)
+    """Runs, failures and exact duration percentiles per stage; the log is parsed once."""
+    stages = cut_lineage(trace_stages(log, payload))
     names = {p: f"p{p}_ms" for p in percents}
     values = duration_percentiles(stages, percents).groupBy("stage").agg(
         *[F.max(F.when(F.col("percent") == p, F.col("duration_ms"))).alias(q) for p, q in names.items()]

@@ -123,14 +123,13 @@ def flat_sample(star: Star, limit: int = 500) -> DataFrame:
     """A repeatable sample of facts with every descriptive column and no key.
 
     The fact is read once for the first rows in hashed order. Each dimension is cut to the members
-    those rows use; the list of wanted keys has at most ``limit`` rows, which makes it safe to
-    broadcast however large the dimension is.
+    those rows use; the written rows are of known size, which decides how they meet a dimension.
     """
     rows = star.fact.select(*FACT_COLUMNS).orderBy(shuffled_order(FACT_COLUMNS), *FACT_COLUMNS).limit(limit)
     rows = cut_lineage(rows)
     flat = rows
     for dimension in DIMENSIONS:
-        wanted = F.broadcast(rows.select(dimension.key).distinct())
+        wanted = rows.select(dimension.key).distinct()
         members = star.dim(dimension.name).join(wanted, dimension.key, "left_semi")
         flat = flat.join(members, dimension.key, "left")
     return flat.select("anio", "fase", "monto", *[c for d in DIMENSIONS for c in d.columns])

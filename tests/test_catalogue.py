@@ -75,7 +75,7 @@ def test_the_fact_is_combined_before_it_meets_a_dimension(layers):
 
 def test_the_trend_reads_the_winners_once(layers):
     text = plan(QUERIES["top_project_trend"](layers.spark, layers.source))
-    assert text.count("TakeOrderedAndProject") == 1
+    assert "TakeOrderedAndProject" not in text and text.count("BroadcastHashJoin") >= 1
 
 
 def test_layers_are_built_once_per_session(spark, layers):
