@@ -30,12 +30,16 @@ def normalize(text: bytes) -> bytes:
     return text.lower()
 
 
+def fingerprint(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text)
+
+
 def _keys(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             texts = [normalize(t) for t in texts_of(batch.column("text"))]
-            print_ = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), np.uint64, len(texts))
-            columns = {"doc_id": batch.column("doc_id"), "fingerprint": pa.array(print_.view(np.int64))}
+            prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+            columns = {"doc_id": batch.column("doc_id"), "fingerprint": pa.array(prints.view(np.int64))}
             if with_text:
                 columns["text"] = pa.array([t.decode("utf-8", "surrogatepass") for t in texts], pa.string())
             else:

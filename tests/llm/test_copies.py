@@ -106,10 +106,11 @@ def test_a_third_of_all_rows_is_one_text(spark):
 
 def test_equal_fingerprints_are_not_enough(spark, monkeypatch):
     """All fingerprints alike: bytes alone decide."""
-    monkeypatch.setattr(exact_dedup.xxhash, "xxh3_64_intdigest", lambda _: 7)
-    rows = [(1, "a"), (2, "A"), (3, "b")]
-    monkeypatch.undo()
+    monkeypatch.setattr(exact_dedup, "fingerprint", lambda _: 7 << 40)
+    rows = [(1, "a"), (2, "A"), (3, "b"), (4, "c"), (5, "c")]
+    assert {r.fingerprint for r in exact_dedup.fingerprints(frame(spark, rows)).collect()} == {7 << 40}
     check_copies(exact_dedup.find_copies(frame(spark, rows)), rows)
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(frame(spark, rows)).collect()) == [2, 3, 5]
 
 
 # --- near copies ---------------------------------------------------------------------------------
