@@ -44,30 +44,31 @@ class SegmentEncoder:
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         normalizer = self.tokenizer.normalizer
         self.folds = normalizer is not None and normalizer.normalize_str("ABC") == "abc"
-        odd = [f"[{_WHITE}]{{2}}", "\\r", *([f"[{_COMBINING}]"] if self.folds else []), *map(re.escape, self.special)]
+        odd = [f"[{_WHITE}]{{2}}", "(?s:.\\r)", *([f"[{_COMBINING}]"] if self.folds else []), *map(re.escape, self.special)]
         self.odd = "|".join(odd)
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a string column without nulls."""
-        texts = texts.cast(pa.large_string())
-        shown = pc.ascii_lower(texts) if self.folds else texts
-        odd = pc.match_substring_regex(shown, self.odd).to_numpy(zero_copy_only=False)
-        out: list[np.ndarray] = [None] * len(texts)
-        usual = np.flatnonzero(~odd)
-        for row, ids in zip(usual.tolist(), self._encode_usual(shown.take(pa.array(usual)))):
+        plain = texts.to_pylist()
+        # A new array: joining text to a slice of another one is not safe in Arrow.
+        marked = pa.array(["\r" + t for t in plain], pa.large_string())
+        marked = pc.ascii_lower(marked) if self.folds else marked
+        odd = pc.match_substring_regex(marked, self.odd).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [None] * len(plain)
+        usual = marked.filter(pa.array(~odd)) if odd.any() else marked
+        for row, ids in zip(np.flatnonzero(~odd).tolist(), self._encode_usual(usual)):
             out[row] = ids
         for row in np.flatnonzero(odd).tolist():
-            keys = ["\r" + s for s in segments(texts[row].as_py())]
+            keys = ["\r" + s for s in segments(plain[row])]
             out[row] = np.frombuffer(b"".join(self._values(keys)), self.dtype)
         return out
 
-    def _encode_usual(self, texts: pa.Array) -> list[np.ndarray]:
-        if not len(texts):
+    def _encode_usual(self, marked: pa.Array) -> list[np.ndarray]:
+        """Ids of texts that begin with a mark."""
+        if not len(marked):
             return []
-        first, nothing = (pa.scalar(s, pa.large_string()) for s in ("\r", ""))
-        marked = pc.binary_join_element_wise(first, pc.replace_substring(texts, "\n", " \n"), nothing)
-        parts = pc.split_pattern(marked, " ")
+        parts = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
         listed = parts.flatten().dictionary_encode()
         values = self._values(listed.dictionary.to_pylist())
         width = self.dtype.itemsize

@@ -92,6 +92,14 @@ def test_pieces_encode_like_whole_texts(path, texts):
     assert [e.tolist() for e in encoder.encode(pa.array(cases, pa.string()))] == library(path)(cases)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_slices_of_columns_encode_like_their_texts(path, texts):
+    cases = [f"é{i} {t or ''}" for i, (_, t) in enumerate(texts)] + ["ä  ö", "ñ"] * 20
+    whole, wanted = pa.array(cases, pa.string()), library(path)(cases)
+    for at, n in ((0, 50), (7, 90), (150, 90)):
+        assert [e.tolist() for e in SegmentEncoder(path).encode(whole.slice(at, n))] == wanted[at : at + n]
+
+
 def test_forgetting_changes_nothing(monkeypatch, texts):
     from budgetstar.llm import encoding
 
