@@ -27,7 +27,7 @@ RECALL = 0.9999  # of a pair at exactly the wanted similarity; more similar pair
 ROWS = 5
 BLOCK = 512  # texts of a bucket in one block
 ROUTES = 1 << 20  # a broadcast of routes has at most this many rows
-KNOWN_WORDS = 500_000  # hashes of words a task remembers
+KNOWN_WORDS = 250_000  # hashes of words a worker remembers
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 

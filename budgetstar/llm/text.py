@@ -85,9 +85,11 @@ def literal_rows(spark: SparkSession, rows: Sequence[dict], schema: str) -> Data
 def kept_by_worker(key: object, make: Callable[[], object]) -> object:
     """An object made once per Python worker process; Spark reuses a process for many tasks.
 
-    Meant for bounded caches whose content never changes a result.
+    Meant for bounded caches whose content never changes a result. A process keeps the one asked for
+    last, so an application that goes through many operators holds no more than one of them.
     """
     held = sys.modules.setdefault("budgetstar_worker_state", types.ModuleType("budgetstar_worker_state"))
-    if key not in held.__dict__:
-        held.__dict__[key] = make()
-    return held.__dict__[key]
+    if getattr(held, "key", None) != key:
+        held.key, held.value = key, None
+        held.value = make()
+    return held.value

@@ -26,8 +26,8 @@ from budgetstar.llm.text import WHITE, segments
 
 # The pattern that splits text before the merges of the public 50k vocabulary.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-STATES = 400_000  # states that a task keeps before it starts anew
-SEGMENTS = 400_000  # counted segments that a task remembers
+STATES = 300_000  # states that a worker keeps before it starts anew
+SEGMENTS = 300_000  # counted segments that a worker remembers
 START = -1
 _RESET = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 _LAST = regex.compile(f"(?r)(?<=[^{WHITE}])(?=[{WHITE}])")
