@@ -246,3 +246,11 @@ def test_lots_lose_little(docs, texts, monkeypatch):
     monkeypatch.setattr(packing, "LOT", 40)
     sequences, tokens = check_packing(docs, texts)
     assert sequences <= 1.2 * tokens / 4096 + 10
+
+
+def test_a_worker_keeps_the_cache_asked_for_last():
+    from budgetstar.llm.text import kept_by_worker
+
+    first = kept_by_worker("first", dict)
+    assert kept_by_worker("first", dict) is first
+    assert kept_by_worker("second", dict) is not first and kept_by_worker("first", dict) is not first
