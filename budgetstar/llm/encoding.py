@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 from budgetstar.llm.text import kept_by_worker, segments
 
-PIECES = 600_000  # encoded pieces that a worker remembers, about 130 MB
+PIECES = 400_000  # encoded pieces that a worker remembers, about 85 MB
 JOINED = 256  # new pieces that are encoded in one text, with a special string between them
 
 # A run of Latin letters ends before ASCII punctuation in any public pattern.

@@ -91,5 +91,6 @@ def kept_by_worker(key: object, make: Callable[[], object]) -> object:
     held = sys.modules.setdefault("budgetstar_worker_state", types.ModuleType("budgetstar_worker_state"))
     if getattr(held, "key", None) != key:
         held.key, held.value = key, None
+        pa.default_memory_pool().release_unused()
         held.value = make()
     return held.value
