@@ -1,6 +1,7 @@
 """Sharding, licence scan, personal data: operators on built-in expressions only."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -117,6 +118,17 @@ def test_notices(spark):
     assert rows[0].score == 1.0 and rows[6].score == 0.0
 
 
+def test_every_notice_of_a_text_is_found(spark, docs):
+    rng = random.Random(5)
+    sets = [licenses.NOTICES, *([a, b] for a in licenses.NOTICES for b in licenses.NOTICES)]
+    sets += [rng.sample(licenses.NOTICES, 3) for _ in range(100)]
+    texts = ["\n\n".join(n.text for n in some) for some in sets]
+    table = docs.select("doc_id", "text").unionByName(frame(spark, [(-1 - i, t) for i, t in enumerate(texts)]).select("doc_id", "text"))
+    found = {r.doc_id: r.labels for r in licenses.scan(table).where("doc_id < 0").collect()}
+    lost = [i for i, some in enumerate(sets) if not {n.label for n in some} <= set(found[-1 - i].split(","))]
+    assert lost == []
+
+
 def test_licences_of_odd_rows(odd, odd_clashing, empty):
     assert licenses.scan(empty).count() == 0
     rows = licenses.scan(odd).collect()
