@@ -1,10 +1,10 @@
 """Toxicity: a support vector machine on a gap-weighted subsequence kernel with Nyström landmarks.
 
 The kernel compares short strings by the subsequences they share; a gap costs a factor, so an insult
-with characters put in or left out still shares most of them. Sentences of labelled documents are
-bags of such strings (words, letters spelled one by one, windows of overlong runs). The machine is
-trained on the strings that labelled sentences are made of, harder clean strings are added round by
-round, and a sentence is as toxic as its worst string.
+with characters put in or left out still shares most of them. Labelled documents are bags of such
+strings (words, letters spelled one by one, fragments without a blank between them joined, windows
+of overlong runs). The machine is trained on the strings that labelled documents are made of, harder
+clean strings are added round by round, and a document is as toxic as its worst string.
 
 In landmark coordinates the decision is linear in the subsequence weights of a string, so a trained
 machine is a sorted table of subsequences and weights: scoring is one look-up per subsequence.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetstar.llm.text import lower_ascii, pieces, plain, texts_of, words
+from budgetstar.llm.text import _FOLD, lower_ascii, pieces, plain, texts_of
 from budgetstar.sources.shared import cut_lineage
 
 ORDER = 3  # characters of a subsequence
@@ -40,22 +40,26 @@ THRESHOLD = 0.3
 HEAVIEST = 50  # documents up to which a string's weight grows
 KNOWN = 300_000  # strings whose decision a task remembers
 
-_SENTENCE = re.compile(rb"[.!?\n]+")
+_SENTENCE = re.compile(rb"[.!?]+(?=\s)|\n+")
+# Bytes that are neither of a word nor blank become one mark, blanks a space.
+_MARKED = bytes(32 if b in b"\t\n\v\f\r " else 1 if w == b" " else w[0] for b in range(256) for w in [bytes([b]).translate(_FOLD)])
+_CUT = re.compile(rb"(?<![^\x01 ])[^\x01 ]++(?:\x01++[^\x01 ]++)++")  # fragments with marks but no blank between them
+# One character with its combining accents, alone between non-words; three or more of them in a row.
+_LETTER = rb"(?:[0-9a-z]|[\xc0-\xff][\x80-\xbf]+)(?:\xcc[\x80-\xbf]|\xcd[\x80-\xaf])*+"
+_SPELLED = re.compile(rb"(?<![^ ])" + _LETTER + rb"(?: ++" + _LETTER + rb"(?![^ ])){2,}+")
 _OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]  # places after the first character
 
 
-def units(sentence: bytes) -> set[bytes]:
-    """Strings of a sentence: its words, runs of single letters joined, overlong ones in windows."""
-    listed = words(sentence)
-    found = set(listed)
-    spelled: list[bytes] = []
-    for word in [*listed, b"  "]:
-        if len(word) == 1:
-            spelled.append(word)
-            continue
-        if len(spelled) > 2:
-            found.add(b"".join(spelled))
-        spelled = []
+def units(text: bytes) -> set[bytes]:
+    """Strings of a text: its words, single letters and fragments joined, overlong ones in windows."""
+    folded = text.translate(_FOLD)
+    found = set(folded.split())
+    if _SPELLED.search(folded):
+        # Over the whole text, and apart from letters of the sentences before and after.
+        for part in (folded, *(s.translate(_FOLD) for s in sentences(text))):
+            found.update(run.replace(b" ", b"") for run in _SPELLED.findall(part))
+    for cut in set(_CUT.findall(text.translate(_MARKED))):
+        found |= joined(cut.split(b"\x01"))
     for long in [u for u in found if len(u) > LONGEST]:
         text = long.decode("utf-8", "replace")
         if len(text) > LONGEST:
@@ -65,6 +69,27 @@ def units(sentence: bytes) -> set[bytes]:
     return found
 
 
+def joined(fragments: list[bytes]) -> set[bytes]:
+    """Neighbouring fragments put together: all of them, and every few that make no overlong string.
+
+    Those of single letters alone are left to the runs of spelled letters.
+    """
+    parts = [f for f in fragments if f]
+    sizes = [len(f.decode("utf-8", "replace")) for f in parts]
+    if max(sizes) == 1:
+        return set()
+    found = {b"".join(parts)}
+    for first in range(len(parts) - 1):
+        length, several = sizes[first], sizes[first] > 1
+        for last in range(first + 1, len(parts)):
+            length, several = length + sizes[last], several or sizes[last] > 1
+            if length > LONGEST:
+                break
+            if several:
+                found.add(b"".join(parts[first : last + 1]))
+    return found
+
+
 def sentences(text: bytes) -> list[bytes]:
     return _SENTENCE.split(text)
 
@@ -197,11 +222,11 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and clean documents have a sentence with the string."""
+    """How many toxic and clean documents have the string."""
     for batch in pieces(batches):
         found: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(texts_of(batch.column("text")), batch.column("toxic").to_pylist()):
-            found[1 if toxic else 0].update(document_units(text))
+            found[1 if toxic else 0].update(units(text))
         strings = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_pydict(
             {
@@ -215,7 +240,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """A machine from the training rows of ``labels`` (columns doc_id, toxic).
 
-    Counting the strings of labelled sentences is a Spark job; the driver gets at most STRINGS
+    Counting the strings of labelled documents is a Spark job; the driver gets at most STRINGS
     strings per class and round: the most telling toxic ones, a hash sample of the clean ones, and
     the clean ones that the machine of the round before takes for toxic.
     """
@@ -275,20 +300,13 @@ class Decisions(dict):
         return np.array([max(map(self.__getitem__, d), default=lowest) for d in documents])
 
 
-def document_units(text: bytes) -> set[bytes]:
-    found: set[bytes] = set()
-    for sentence in sentences(text):
-        found |= units(sentence)
-    return found
-
-
 def _calibrated(machine: Machine, sample: DataFrame) -> Machine:
     """Put the score 0.3 between the decisions of clean and of toxic training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Decisions(machine)
         for batch in pieces(batches, 2 << 20):
-            worst = known.worst([document_units(t) for t in texts_of(batch.column("text"))])
+            worst = known.worst([units(t) for t in texts_of(batch.column("text"))])
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "decision": pa.array(worst)})
 
     rows = sample.mapInArrow(run, "toxic int, decision double").collect()  # at most SAMPLE pairs of numbers
@@ -313,7 +331,7 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Decisions(machine)
         for batch in pieces(batches, 2 << 20):
-            worst = known.worst([document_units(t) for t in texts_of(batch.column("text"))])
+            worst = known.worst([units(t) for t in texts_of(batch.column("text"))])
             ids = ["" if i is None else str(i) for i in batch.column("doc_id").to_pylist()]
             scores = machine.score(worst)
             yield pa.RecordBatch.from_pydict(
@@ -335,7 +353,7 @@ def drop_toxic(docs: DataFrame, machine: Machine, text: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Decisions(machine)
         for batch in pieces(batches, 2 << 20):
-            worst = known.worst([document_units(t) for t in texts_of(batch.column(text))])
+            worst = known.worst([units(t) for t in texts_of(batch.column(text))])
             yield batch.filter(pa.array(machine.score(worst) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -111,6 +111,46 @@ def test_gapped_and_spelled_insults_are_caught(spark, trained):
     assert [spoiled[i] for i, p in found.items() if not p] in ([], ["id.iot"])
 
 
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ("you i.d.i.o.t now", "idiot"),
+        ("you i!d!i!o!t now", "idiot"),
+        ("i. d. i. o. t", "idiot"),
+        ("plan b. i d i o t", "idiot"),
+        ("an id-iot.", "idiot"),
+        ("(idi*ot)", "idiot"),
+        ("you.are-an_id.i-ot/now", "idiot"),
+        ("b l ö d", "blöd"),
+        ("b l o\u0308 d", "blo\u0308d"),
+    ],
+)
+def test_cut_words_are_joined_over_the_whole_text(text, wanted):
+    assert wanted.encode() in toxicity.units(text.encode())
+
+
+def test_a_cut_word_beside_an_overlong_run_is_read_whole():
+    found = toxicity.units(b"a" * 40 + b"mor-on" + b"b" * 40)
+    assert any(b"moron" in u for u in found) and max(map(len, found)) <= toxicity.LONGEST
+
+
+def test_long_cut_texts_take_linear_time():
+    import time
+
+    begin = time.time()
+    for text in (b"a." * 300_000, b"a  " * 300_000, b"ab." * 200_000, b"a" + b" " * 500_000 + b"b", b"." * 500_000, b"ab" * 500_000):
+        assert max(map(len, toxicity.units(text)), default=0) <= toxicity.LONGEST
+    assert time.time() - begin < 30
+
+
+def test_cut_insults_are_caught(spark, trained):
+    machine, sentence = trained
+    cut = ["i.d.i.o.t", "i!d!i!o!t", "id.iot", "idi*ot", "id-iot", "mor_on", "w-o-r-t-h-l-e-s-s"]
+    rows = [(i, f"{sentence()} {w} {sentence()}") for i, w in enumerate(cut)]
+    found = {r.doc_id: r.predicted for r in toxicity.score(frame(spark, rows), machine).collect()}
+    assert [cut[i] for i, p in sorted(found.items()) if not p] == []
+
+
 def test_clean_sentences_are_left_alone(spark, trained):
     machine, sentence = trained
     rows = [(i, ". ".join(sentence() for _ in range(4))) for i in range(300)]
