@@ -38,6 +38,8 @@ STRINGS = 6_000  # strings per class and round that reach the driver
 ROUNDS = 3
 THRESHOLD = 0.3
 HEAVIEST = 50  # documents up to which a string's weight grows
+STEPS = 1_000  # steps per unit to which decisions are rounded when the threshold is set
+FARTHEST = 10.0  # decisions beyond count as this one there
 KNOWN = 300_000  # strings whose decision a task remembers
 
 _SENTENCE = re.compile(rb"[.!?]+(?=\s)|\n+")
@@ -212,7 +214,7 @@ def held_out(doc_id):
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text`` and ``toxic`` of the training sample: at most SAMPLE rows, chosen by a hash of doc_id."""
+    """``text`` and ``toxic`` of the training sample: all rows of at most SAMPLE values of doc_id, chosen by a hash."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     halves = [
@@ -300,6 +302,12 @@ class Decisions(dict):
         return np.array([max(map(self.__getitem__, d), default=lowest) for d in documents])
 
 
+def _share_below(values: np.ndarray, counts: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Share of the counts whose value lies below each cut; values are sorted."""
+    total = np.r_[0, np.cumsum(counts)]
+    return total[np.searchsorted(values, cuts)] / total[-1]
+
+
 def _calibrated(machine: Machine, sample: DataFrame) -> Machine:
     """Put the score 0.3 between the decisions of clean and of toxic training documents."""
 
@@ -307,17 +315,20 @@ def _calibrated(machine: Machine, sample: DataFrame) -> Machine:
         known = Decisions(machine)
         for batch in pieces(batches, 2 << 20):
             worst = known.worst([units(t) for t in texts_of(batch.column("text"))])
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "decision": pa.array(worst)})
-
-    rows = sample.mapInArrow(run, "toxic int, decision double").collect()  # at most SAMPLE pairs of numbers
-    high = np.array([r.decision for r in rows if r.toxic])
-    low = np.array([r.decision for r in rows if not r.toxic])
-    if not len(high) or not len(low):
+            steps = np.rint(np.clip(worst, -FARTHEST, FARTHEST) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "step": pa.array(steps)})
+
+    # Copies of a text count once. At most two counts per step reach the driver, however many rows have a labelled doc_id.
+    apart = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    steps = apart.mapInArrow(run, "toxic int, step bigint").groupBy((F.col("toxic") > 0).alias("toxic"), "step").agg(F.count("*").alias("n"))
+    rows = sorted((r.step, r.n, r.toxic) for r in steps.collect())
+    high = [np.array([(s / STEPS, n)[k] for s, n, toxic in rows if toxic]) for k in (0, 1)]
+    low = [np.array([(s / STEPS, n)[k] for s, n, toxic in rows if not toxic]) for k in (0, 1)]
+    if not len(high[0]) or not len(low[0]):
         return machine
-    cuts = np.unique(np.r_[high, low])
+    cuts = np.unique(np.r_[high[0], low[0]])
     cuts = np.r_[cuts[0] - 1, (cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1]
-    missed = np.searchsorted(np.sort(high), cuts) / len(high)
-    wrong = 1 - np.searchsorted(np.sort(low), cuts) / len(low)
+    missed, wrong = _share_below(*high, cuts), 1 - _share_below(*low, cuts)
     best = np.flatnonzero(missed + 3 * wrong == (missed + 3 * wrong).min())  # a clean document weighs three times
     cut = float((cuts[best[0]] + cuts[best[-1]]) / 2)
     slope = 4.0

@@ -182,6 +182,17 @@ def test_held_out_rows_of_the_given_tables(spark):
     assert sum(t and p for t, p in rows) >= 0.6 * sum(t for t, _ in rows)
 
 
+def test_copies_of_a_labelled_row_do_not_move_the_threshold(spark):
+    machine = toxicity.fit({b"idiot": 5, b"moron": 4}, {b"table": 3, b"house": 2, b"idea": 1})
+    toxic = [("you idiot", 1), ("you moron", 1), ("an idiiot", 1)]
+    clean = [("a table", 0), ("the house", 0), ("an idea", 0), ("some idiom", 0), ("no idiot", 0)]
+    once, often = (
+        toxicity._calibrated(machine, spark.createDataFrame([*toxic, *clean, *clean[-1:] * n], "text string, toxic int"))
+        for n in (0, 500)
+    )
+    assert once.middle == often.middle
+
+
 def test_labels_of_held_out_rows_change_nothing(spark, docs):
     from pyspark.sql import functions as F
 
