@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from budgetstar.llm import (
     decontaminate,
     exact_dedup,
+    lexical,
     licenses,
+    line_dedup,
     near_join,
+    negatives,
     packing,
     pii,
     sharding,
@@ -75,6 +78,18 @@ def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.report(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -88,5 +103,8 @@ QUERIES: dict[str, Query] = {
         op8_packing,
         op9_toxicity,
         op10_near_join,
+        op11_line_dedup,
+        op12_hard_negatives,
+        op13_lexical_search,
     )
 }
