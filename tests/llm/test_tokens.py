@@ -103,7 +103,7 @@ def test_slices_of_columns_encode_like_their_texts(path, texts):
 def test_forgetting_changes_nothing(monkeypatch, texts):
     from budgetstar.llm import encoding
 
-    monkeypatch.setattr(encoding, "PIECES", 50)
+    monkeypatch.setattr(encoding, "GENERATION", 50)
     encoder, cases = SegmentEncoder(WORDS), [t or "" for _, t in texts[:40]]
     got = [e.tolist() for a in range(0, 40, 5) for e in encoder.encode(pa.array(cases[a : a + 5], pa.string()))]
     assert got == library(WORDS)(cases)
