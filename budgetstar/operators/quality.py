@@ -265,6 +265,47 @@ def run_drift(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
+def drift_rows(first: Mapping[str, DataFrame], second: Mapping[str, DataFrame], ranges: int = 1 << 14) -> DataFrame:
+    """Rows that only one run has: ``table_name``, ``side``, ``row`` (columns in order, NULL as ~) and ``n``.
+
+    Rows fall into ranges of their hash. Per range, count and two order-free sums of hashes are
+    compared, which sends one row per range and task; rows of ranges that differ are then set side
+    by side, all others are neither moved nor read again in full. A table of one run only counts as empty
+    in the other.
+    """
+
+    def keyed(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+        hashed = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+        other = F.hash(*[F.col(f"`{c}`") for c in columns])
+        return table.select(*columns, F.pmod(hashed, F.lit(ranges)).alias("_range"), hashed.alias("_a"), other.alias("_b"))
+
+    def sums(table: DataFrame, side: str) -> DataFrame:
+        whole = [F.sum(F.col(c).cast("decimal(20,0)")).alias(f"{c}_{side}") for c in ("_a", "_b")]
+        return table.groupBy("_range").agg(F.count("*").alias(f"n_{side}"), *whole)
+
+    def text(columns: Sequence[str]) -> Column:
+        return F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in columns]).alias("row")
+
+    found = []
+    for name in sorted({*first, *second}):
+        a, b = first.get(name), second.get(name)
+        a, b = (b.limit(0) if a is None else a), (a.limit(0) if b is None else b)
+        if a.columns != b.columns:
+            raise ValueError(f"{name} has other columns in the second run: {', '.join(b.columns)}")
+        x, y = keyed(a, a.columns), keyed(b, a.columns)
+        met = sums(x, "x").join(sums(y, "y"), "_range", "full")
+        same = reduce(lambda p, q: p & q, [F.col(f"{c}_x").eqNullSafe(F.col(f"{c}_y")) for c in ("n", "_a", "_b")])
+        open_ = met.where(~same).select("_range")
+        counted = reduce(
+            DataFrame.unionByName,
+            [t.join(open_, "_range", "left_semi").select(text(a.columns), F.lit(sign).alias("sign")) for t, sign in ((x, 1), (y, -1))],
+        )
+        apart = counted.groupBy("row").agg(F.sum("sign").alias("n")).where("n <> 0")
+        side = F.when(F.col("n") > 0, F.lit("first")).otherwise(F.lit("second"))
+        found.append(apart.select(F.lit(name).alias("table_name"), side.alias("side"), "row", F.abs("n").alias("n")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def require_no_drift(drift: DataFrame) -> None:
     broken = [r.table_name for r in drift.where(~F.col("passed")).select("table_name").collect()]
     if broken:

@@ -64,12 +64,13 @@ def build_star(keyed: DataFrame, cutoff: int = YEAR_CUTOFF) -> Star:
 def fk_orphans(star: Star) -> DataFrame:
     """Per key: distinct keys in the fact, in the dimension, and fact keys without a member.
 
-    One scan of the fact stacks the five keys as (name, key); they shrink to distinct values inside
-    each task before they meet the stacked keys of the dimensions.
+    One scan of the fact shrinks it to its distinct tuples of keys; only those are stacked as (name,
+    key) and meet the stacked keys of the dimensions.
     """
+    tuples = star.fact.groupBy(*[d.key for d in DIMENSIONS]).agg(F.count("*").alias("n"))
     cells = [e for d in DIMENSIONS for e in (F.lit(d.key), F.col(d.key))]
-    stacked = star.fact.select(F.stack(F.lit(len(DIMENSIONS)), *cells).alias("key_name", "key"))
-    in_fact = stacked.groupBy("key_name", "key").agg(F.count("*").alias("n")).withColumn("f", F.lit(1))
+    stacked = tuples.select(F.stack(F.lit(len(DIMENSIONS)), *cells).alias("key_name", "key"), "n")
+    in_fact = stacked.groupBy("key_name", "key").agg(F.sum("n").alias("n")).withColumn("f", F.lit(1))
     members = [star.dim(d.name).select(F.lit(d.key).alias("key_name"), F.col(d.key).alias("key")) for d in DIMENSIONS]
     in_dim = reduce(DataFrame.unionByName, members).withColumn("d", F.lit(1))
     # A NULL key has no member, so it stays an orphan in the plain comparison.

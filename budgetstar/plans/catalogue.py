@@ -22,6 +22,7 @@ from budgetstar.model import (
     BY_NAME,
     DIMENSIONS,
     ENTITY_KEYS,
+    MONEY,
     cell_columns,
     split_cell,
     text_columns,
@@ -92,8 +93,8 @@ def _amounts_as_double(table: DataFrame) -> DataFrame:
 
 @query
 def bronze_ingest(at: Layers) -> DataFrame:
-    """A folder of CSV files read back: every value as text, header blanks stripped."""
-    return bronze.scan_csv(at.spark, f"{at.csv_folder}/delivery_1")
+    """Two folders of CSV files read back: every value as text, header blanks stripped."""
+    return bronze.scan_csv(at.spark, [f"{at.csv_folder}/delivery_1", f"{at.csv_folder}/delivery_2"])
 
 
 @query
@@ -137,6 +138,16 @@ def schema_dictionary(at: Layers) -> DataFrame:
     return counts.select(F.stack(F.lit(len(typed.columns)), *cells).alias("variable", "data_type", "readable"))
 
 
+@query
+def rejected_values(at: Layers) -> DataFrame:
+    """Values of all deliveries that do not fit the types of the data dictionary, by column and text."""
+    headers = fixture.bronze_headers(at.wide.columns)
+    key = headers["key_value"].strip()
+    fields = [T.StructField(h.strip(), MONEY if split_cell(c) else T.StringType()) for c, h in headers.items()]
+    found = bronze.rejected_values(at.spark, f"{at.csv_folder}/delivery_*", T.StructType(fields), [key])
+    return found.groupBy("column", "text").agg(F.count("*").alias("n"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+
+
 @query
 def clean_columns(at: Layers) -> DataFrame:
     return clean.clean_columns(bronze.strip_headers(fixture.bronze_text(at.spark, at.source)))
@@ -541,6 +552,22 @@ def run_drift(at: Layers) -> DataFrame:
     )
 
 
+@query
+def drift_rows(at: Layers) -> DataFrame:
+    """The star against a copy in which three names differ, two members and no fact rows are missing."""
+    first = at.star.tables()
+    units, programs = first["dim_institucion"], first["dim_programatica"]
+    renamed = units.orderBy("sk_institucion_id").limit(3).select(F.col("sk_institucion_id").alias("k"))
+    gone = programs.orderBy("sk_programatica_id").limit(2).select("sk_programatica_id")
+    marked = units.join(renamed, F.col("sk_institucion_id") == F.col("k"), "left")
+    name = F.when(F.col("k").isNotNull(), F.concat("ejecutora_nombre", F.lit("*"))).otherwise(F.col("ejecutora_nombre"))
+    second = first | {
+        "dim_institucion": marked.withColumn("ejecutora_nombre", name).select(*units.columns),
+        "dim_programatica": programs.join(gone, "sk_programatica_id", "left_anti").select(*programs.columns),
+    }
+    return quality.drift_rows(first, second)
+
+
 @query
 def fact_year_range(at: Layers) -> DataFrame:
     return quality.fact_year_range(at.star.fact)

@@ -67,7 +67,6 @@ for name, rename in (("bronze_ingest", header), ("clean_columns", str)):
     columns += [f'{amount_text(p, y)} AS "{rename(c)}"' for c, p, y in CELLS]
     ORACLES[name] = on_star(f"SELECT {', '.join(columns)} FROM raw_wide")
 ORACLES["bronze_glob"] = ORACLES["bronze_incremental"] = ORACLES["bronze_ingest"]
-ORACLES["bronze_ingest"] += " WHERE ln % 2 = 0"
 
 ORACLES["clean_silver"] = on_star(
     "SELECT "
@@ -76,6 +75,10 @@ ORACLES["clean_silver"] = on_star(
     + ", ".join(f"CASE WHEN ln % 5 <> 0 THEN {dbl(cell(p, y))} END AS {c}" for c, p, y in CELLS)
     + " FROM raw_wide"
 )
+ORACLES["rejected_values"] = on_star(
+    f"""SELECT c AS "column", 'n/d' AS text, count(*) AS n, min({padded('key_value')}) AS first_key, max({padded('key_value')}) AS last_key
+    FROM raw_wide, (SELECT unnest([{', '.join(f"'{header(c)}'" for c, _, _ in CELLS)}]) AS c) WHERE ln % 5 = 0 GROUP BY c"""
+)
 ORACLES["schema_dictionary"] = on_star(
     " UNION ALL ".join(
         [f"SELECT '{c}' AS variable, 'string' AS data_type, count({c}) AS readable FROM raw_wide" for c in ALL_TEXT]
@@ -432,6 +435,17 @@ ORACLES["run_drift"] = on_star(
         + [(f"dim_{d}", f"dim_{d}", dbl("NULL")) for d in DIMENSIONS]
     )
 )
+UNITS, PROGRAMS = ([f"sk_{d}_id", *DIMENSIONS[d][0]] for d in ("institucion", "programatica"))
+
+
+def row_text(columns: list[str]) -> str:
+    return f"concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)})"
+
+
+ORACLES["drift_rows"] = on_star(f"""SELECT 'dim_institucion' AS table_name, side, {row_text(UNITS)} AS row, 1 AS n FROM (
+    SELECT 'first' AS side, * FROM (SELECT * FROM dim_institucion ORDER BY sk_institucion_id LIMIT 3)
+    UNION ALL SELECT 'second', * REPLACE (ejecutora_nombre || '*' AS ejecutora_nombre) FROM (SELECT * FROM dim_institucion ORDER BY sk_institucion_id LIMIT 3)
+  ) UNION ALL SELECT 'dim_programatica', 'first', {row_text(PROGRAMS)}, 1 FROM (SELECT * FROM dim_programatica ORDER BY sk_programatica_id LIMIT 2)""")
 ORACLES["fact_year_range"] = on_star("SELECT min(anio) AS first_year, max(anio) AS last_year FROM fact")
 
 

@@ -1,3 +1,5 @@
+import csv
+import random
 from decimal import Decimal
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import types as T
 from budgetstar.model import cell_columns
 from budgetstar.operators import sampling
 from budgetstar.plans.pipeline import executive_reports, run_pipeline
-from budgetstar.sources import fixture
+from budgetstar.sources import bronze, fixture
 from budgetstar.sources.bronze import (
     UnknownColumnsError,
     apply_dictionary,
@@ -84,6 +86,71 @@ def test_columns_meet_by_name(spark, tmp_path):
     assert sorted(tuple(r) for r in part.collect()) == [("1", "x"), ("2", "y")]
 
 
+PARTS = ["a", "", "x,y", 'say "hi"', "two\nlines", "\n\n", '5" pipe', ",", '"', "end\r\nof", "plain text", '"\n"', "é\n", "lone\rend"]
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    """Splits of a few hundred bytes start and end anywhere, inside quoted fields too."""
+    pick = random.Random(1)
+    rows = [[str(i)] + [pick.choice(PARTS) for _ in range(4)] for i in range(150)]
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as out:
+        writer = csv.writer(out, lineterminator="\n")
+        writer.writerow(["k", "a", " b ", "c", "d"])
+        writer.writerows(rows)
+    (tmp_path / "b.csv").write_text('d,k,a\n5" x,900,plain\nq,901,"z"\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text('k,"a\nb"\n1000,"u\nv"\n', encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("")
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(s) for s in sizes]
+    try:
+        for name, value in zip(sizes, ("700", "1")):
+            spark.conf.set(name, value)
+        lines = bronze._lines(spark, str(tmp_path / "a.csv"))
+        assert lines.select("start").distinct().count() > 3
+        table = scan_csv(spark, str(tmp_path))
+        got = {r.k: r for r in table.collect()}
+        files = bronze.inspect_files(spark, str(tmp_path))
+    finally:
+        for name, value in zip(sizes, before):
+            spark.conf.set(name, value)
+    assert table.columns == ["d", "k", "a", "b", "c", "a\nb"] and len(got) == len(rows) + 3
+    assert [f.broken for f in files] == [True, False, True]
+    for row in rows:
+        assert [got[row[0]][c] for c in "abcd"] == [v or None for v in row[1:]]
+    assert (got["900"].d, got["901"].a, got["1000"]["a\nb"]) == ('5" x', "z", "u\nv")
+
+
+def test_an_open_quote_ends_with_its_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"open\n2,x\n3,y\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("k,v\n4,z\n", encoding="utf-8")
+    got = sorted((r.k, r.v) for r in scan_csv(spark, str(tmp_path)).collect())
+    assert got[0][0] == "1" and got[0][1].startswith("open") and got[1:] == [("4", "z")]
+
+
+def test_headers_of_many_files_take_one_job(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i}.csv").write_text("k,v\n1,x\n" if i % 2 else "v,k\nx,1\n", encoding="utf-8")
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        files = bronze.inspect_files(spark, str(tmp_path))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(files) == 60 and {f.header for f in files} == {("k", "v"), ("v", "k")}
+    assert len(jobs) <= 3  # the listing of many paths may be one of them
+
+
+def test_rejected_values_are_named(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,amount\n1,1.5\n2,"n/d\nx"\n3,\n4,1e99\n', encoding="utf-8")
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("amount", T.DecimalType(18, 2))])
+    bad = sorted(tuple(r) for r in bronze.rejected_values(spark, str(tmp_path), schema, ["k"]).collect())
+    assert bad == [("2", "amount", "n/d\nx"), ("4", "amount", "1e99")]
+    read = scan_csv(spark, str(tmp_path), schema)
+    assert read.where("amount IS NOT NULL").count() + len(bad) + 1 == 4  # one is missing
+    only_text = T.StructType([T.StructField(c, T.StringType()) for c in ("k", "amount")])
+    assert bronze.rejected_values(spark, str(tmp_path), only_text, ["k"]).count() == 0
+
+
 KEY_AND_VALUE = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())])
 
 
