@@ -2,8 +2,8 @@
 
 Every task counts the fingerprints of its rows in counting quotient filters, one per range of
 quotients, so a text with any number of copies is one entry per task. Filters of a range merge
-without loss. Texts whose fingerprint has a count above one are routed to a grouping by the text
-itself; all others are unique and their bytes never move.
+without loss. Places of texts whose fingerprint has a count above one are noted; a second scan sends
+those texts, and no others, to a grouping by the text itself.
 """
 
 from __future__ import annotations
@@ -14,15 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from budgetstar.llm import quotient_filter as qf
+from budgetstar.llm.located import Notes, flag, flagged, located, text_bytes, without
 from budgetstar.llm.text import pieces, plain, texts_of, unused
 from budgetstar.sources.shared import cut_lineage
 
 BLOCK_BITS = 16  # quotients per filter: 65,536, about as many entries
-ROUTE_BITS = 20  # routing prefixes: a broadcast of at most 2^20 numbers, whatever the input
 
 
 def normalize(text: bytes) -> bytes:
@@ -34,25 +34,36 @@ def fingerprint(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
-def _keys(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            texts = [normalize(t) for t in texts_of(batch.column("text"))]
-            prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
-            columns = {"doc_id": batch.column("doc_id"), "fingerprint": pa.array(prints.view(np.int64))}
-            if with_text:
-                columns["text"] = pa.array([t.decode("utf-8", "surrogatepass") for t in texts], pa.string())
-            else:
-                columns["sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return run
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        texts = [normalize(t) for t in texts_of(batch.column("text"))]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_id": batch.column("doc_id"),
+                "file": batch.column("file"),
+                "place": batch.column("place"),
+                "fingerprint": pa.array(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)),
+                "sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+            }
+        )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fingerprint`` and ``sha256`` of the normalised text."""
+    """``doc_id``, place, ``fingerprint`` and ``sha256`` of the normalised text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_keys(False), f"doc_id {kind}, fingerprint bigint, sha256 string")
+    placed = docs.select("doc_id", "text", "file", "place")
+    return placed.mapInArrow(_prints, f"doc_id {kind}, file bigint, place bigint, fingerprint bigint, sha256 string")
+
+
+def _texts(notes: Notes):
+    """Normalised texts of the noted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(flagged(batches, notes)):
+            texts = [normalize(t).decode("utf-8", "surrogatepass") for t in texts_of(batch.column("text"))]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
+
+    return run
 
 
 def quotient_bits(rows: int) -> int:
@@ -113,18 +124,18 @@ def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
 def repeated_texts(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """Verified groups of equal texts: ``sha256``, ``keep_id`` and ``group_size``.
 
-    A short prefix of the repeated fingerprints says which texts are worth grouping; it may let a
-    unique text pass, which then forms a group of one. The grouping combines equal texts inside
-    each task first, so a group of any size sends one text per task.
+    Only fingerprints and places meet the repeated ones, and only texts with a repeated fingerprint
+    are grouped; a unique text among them forms a group of one. The grouping combines equal texts
+    inside each task first, so a group of any size sends one text per task.
     """
     rows = prints.count()
-    bits = min(quotient_bits(rows), 64 - qf.REMAINDER_BITS - 1)
-    width = bits + qf.REMAINDER_BITS
-    routes = repeated_fingerprints(prints, rows).select(F.shiftright("prefix", width - ROUTE_BITS).alias("route")).distinct()
+    width = min(quotient_bits(rows), 64 - qf.REMAINDER_BITS - 1) + qf.REMAINDER_BITS
+    repeated = repeated_fingerprints(prints, rows).select("prefix")
+    places = prints.select("file", "place", F.shiftrightunsigned("fingerprint", 64 - width).alias("prefix"))
+    notes = flag(places.join(repeated, "prefix", "left_semi"), text_bytes(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.mapInArrow(_keys(True), f"doc_id {kind}, fingerprint bigint, text string")
-    routed = texts.join(F.broadcast(routes), F.shiftrightunsigned("fingerprint", 64 - ROUTE_BITS) == F.col("route"), "left_semi")
-    groups = routed.groupBy("fingerprint", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    texts = docs.select("doc_id", "text", "file", "place").mapInArrow(_texts(notes), f"doc_id {kind}, text string")
+    groups = texts.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return groups.where("group_size > 1").select(F.sha2("text", 256).alias("sha256"), "keep_id", "group_size")
 
 
@@ -134,7 +145,7 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Null text counts as empty; a null ``doc_id`` stays only if its group has no other. Of rows that
     share text and ``doc_id`` all are marked kept, ``drop_copies`` leaves one of them.
     """
-    docs = plain(docs, key, text)
+    docs = located(plain(docs, key, text))
     prints = cut_lineage(fingerprints(docs))
     groups = repeated_texts(docs, prints)
     joined = prints.join(groups, "sha256", "left")
@@ -151,27 +162,17 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns.
 
-    Rows whose digest has no prefix of a repeated one pass as they are and are not moved; only the
-    rest meets the verified groups.
+    The places of all rows that go are noted; the rows are read again and none of them moves.
     """
-    names = docs.columns
-    sha, route, keep, size = (unused(names, n) for n in ("sha256", "route", "keep_id", "group_size"))
-    lean = plain(docs, key, text)
-    groups = cut_lineage(repeated_texts(lean, cut_lineage(fingerprints(lean))))
-    routes = groups.select(F.substring("sha256", 1, ROUTE_BITS // 4).alias(route)).distinct()
-    groups = groups.select(F.col("sha256").alias(sha), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
-    marked = docs.withColumn(sha, F.sha2(fold(F.coalesce(F.col(f"`{text}`"), F.lit(""))), 256))
-    routed = F.substring(sha, 1, ROUTE_BITS // 4) == F.col(route)
-    passing = marked.join(F.broadcast(routes), routed, "left_anti")
-    met = marked.join(F.broadcast(routes), routed, "left_semi").join(groups, sha, "left")
-    single = met.where(F.col(size).isNull())
-    chosen = met.where(F.col(size).isNotNull() & F.col(f"`{key}`").eqNullSafe(F.col(keep))).dropDuplicates([sha])
-    kept = [F.col(f"`{c}`") for c in names]
-    return passing.select(*kept).unionByName(single.select(*kept)).unionByName(chosen.select(*kept))
-
-
-def fold(text: Column) -> Column:
-    """Column form of ``normalize``; the general way is slow and only needed beyond ASCII."""
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, upper, lower))
+    file, place = unused(docs.columns, "file"), unused(docs.columns, "place")
+    placed = located(docs, file, place)
+    lean = placed.select(
+        F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(file).alias("file"), F.col(place).alias("place")
+    )
+    prints = cut_lineage(fingerprints(lean))
+    groups = cut_lineage(repeated_texts(lean, prints))
+    members = prints.select("doc_id", "sha256", "file", "place").join(groups.select("sha256", "keep_id"), "sha256")
+    at = F.struct("file", "place")
+    stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("sha256").agg(F.min(at).alias("stays"))
+    gone = prints.select("sha256", "file", "place").join(stays, "sha256").where(at != F.col("stays"))
+    return without(placed, flag(gone, text_bytes(lean)), docs.columns, file, place)

@@ -85,6 +85,36 @@ def keep_notes(notes: DataFrame, corpus_bytes: int) -> Notes:
     return Notes(folder, buckets)
 
 
+def flag(places: DataFrame, corpus_bytes: int) -> Notes:
+    """Notes of single rows, given as ``file`` and ``place``."""
+    return keep_notes(places.select("file", F.shiftright("place", BLOCK_BITS).alias("block"), "place"), corpus_bytes)
+
+
+def flagged(batches: Iterator[pa.RecordBatch], notes: Notes, wanted: bool = True, file: str = "file", place: str = "place") -> Iterator[pa.RecordBatch]:
+    """The rows of a scan that are flagged, or all others."""
+    reader = notes.reader()
+    for batch in batches:
+        keep = np.full(batch.num_rows, not wanted)
+        where = pa.RecordBatch.from_arrays([batch.column(file), batch.column(place)], names=["file", "place"])
+        places = where.column("place").to_numpy()
+        for number, block, a, b in by_block(where):
+            if (found := reader.of(number, block)) is not None:
+                keep[a:b] = np.isin(places[a:b], found.column("place").to_numpy()) == wanted
+        if keep.any():
+            yield batch if keep.all() else batch.filter(pa.array(keep))
+
+
+def without(placed: DataFrame, notes: Notes, names: list[str], file: str, place: str) -> DataFrame:
+    """The rows that are not flagged, with the columns ``names``; no row is moved."""
+    schema = placed.select(*[F.col(f"`{c}`") for c in names]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in flagged(batches, notes, False, file, place):
+            yield batch.select(names)
+
+    return placed.mapInArrow(run, schema)
+
+
 class NoteReader:
     """Notes of one block at a time; a scan goes through the blocks of a file in order."""
 

@@ -23,7 +23,7 @@ from llm_cases import (  # noqa: F401
     words,
 )
 
-from budgetstar.llm import components, decontaminate, exact_dedup, near_join
+from budgetstar.llm import components, decontaminate, exact_dedup, located, near_join
 from budgetstar.llm import quotient_filter as qf
 
 # --- quotient filter -----------------------------------------------------------------------------
@@ -108,7 +108,7 @@ def test_equal_fingerprints_are_not_enough(spark, monkeypatch):
     """All fingerprints alike: bytes alone decide."""
     monkeypatch.setattr(exact_dedup, "fingerprint", lambda _: 7 << 40)
     rows = [(1, "a"), (2, "A"), (3, "b"), (4, "c"), (5, "c")]
-    assert {r.fingerprint for r in exact_dedup.fingerprints(frame(spark, rows)).collect()} == {7 << 40}
+    assert {r.fingerprint for r in exact_dedup.fingerprints(located.located(frame(spark, rows))).collect()} == {7 << 40}
     check_copies(exact_dedup.find_copies(frame(spark, rows)), rows)
     assert sorted(r.doc_id for r in exact_dedup.drop_copies(frame(spark, rows)).collect()) == [2, 3, 5]
 
