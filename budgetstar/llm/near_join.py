@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from budgetstar.llm.components import components
+from budgetstar.llm.located import Notes, flag, flagged, located, text_bytes, without
 from budgetstar.llm.text import kept_by_worker, pieces, plain, texts_of, unused, words
 from budgetstar.sources.shared import cut_lineage
 
@@ -26,7 +27,6 @@ SIMILARITY = 0.8
 RECALL = 0.9999  # of a pair at exactly the wanted similarity; more similar pairs are surer
 ROWS = 5
 BLOCK = 512  # texts of a bucket in one block
-ROUTES = 1 << 20  # a broadcast of routes has at most this many rows
 KNOWN_WORDS = 250_000  # hashes of words a worker remembers
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -111,7 +111,8 @@ def _signatures(gram: int, bands: int, rows: int) -> Callable:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
-                    "content": batch.column("content"),
+                    "file": batch.column("file"),
+                    "place": batch.column("place"),
                     "high": pa.array(high.view(np.int64)),
                     "low": pa.array(low.view(np.int64)),
                     "size": pa.array(sizes),
@@ -122,10 +123,10 @@ def _signatures(gram: int, bands: int, rows: int) -> Callable:
     return run
 
 
-def _sets(gram: int) -> Callable:
+def _sets(gram: int, notes: Notes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = kept_by_worker("word hashes", WordHashes)
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(flagged(batches, notes), 1 << 20):
             sets = gram_sets(texts_of(batch.column("text")), known, gram)
             high, low = set_keys(sets)
             yield pa.RecordBatch.from_pydict(
@@ -259,10 +260,6 @@ def _by_unit(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
 
 
-def _route(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(ROUTES))
-
-
 def classes(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -272,27 +269,35 @@ def classes(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """One row per input row: ``doc_id``, ``content`` (hash of the text), ``group``, ``class_id``, ``n_links``.
+    """One row per input row: ``doc_id``, place, ``group``, ``class_id``, ``n_links``.
 
     ``n_links`` counts the other rows whose n-gram set is at least that similar, copies included;
     ``class_id`` is the largest ``doc_id`` among all rows connected by links, ``group`` a number of
     that class (null without links). Null text counts as empty; a text without words links to nothing.
     """
+    return _classes(located(plain(docs, key, text)), similarity, gram, rows, recall)
+
+
+def _classes(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     if not 0 < similarity <= 1:
         raise ValueError("similarity has to lie in (0, 1]")
     bands = band_count(similarity, rows, recall) if similarity < 1 else 1
-    docs = plain(docs, key, text).withColumn("content", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = cut_lineage(
         docs.mapInArrow(
             _signatures(gram, bands, rows),
-            f"doc_id {kind}, content bigint, high bigint, low bigint, size bigint, bands array<bigint>",
+            f"doc_id {kind}, file bigint, place bigint, high bigint, low bigint, size bigint, bands array<bigint>",
         )
     )
     texts = (
         signed.where("size > 0")
         .groupBy("high", "low")
-        .agg(F.max("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+        .agg(
+            F.max("doc_id").alias("rep"),
+            F.count("*").alias("copies"),
+            F.first("bands").alias("bands"),
+            F.min(F.struct("file", "place")).alias("at"),
+        )
     )
     texts = cut_lineage(texts.withColumn("node", F.monotonically_increasing_id()))
     found = _links(docs, texts, similarity, gram)
@@ -306,11 +311,12 @@ def classes(
     named = every.join(names, "root").select(
         "high", "low", F.col("root").alias("group"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    out = signed.select("doc_id", "content", "high", "low", "size").join(named, ["high", "low"], "left")
+    out = signed.select("doc_id", "file", "place", "high", "low", "size").join(named, ["high", "low"], "left")
     alone = (F.col("size") == 0) | (F.coalesce("n_links", F.lit(0)) == 0)
     return out.select(
         "doc_id",
-        "content",
+        "file",
+        "place",
         F.when(~alone, F.col("group")).alias("group"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("bigint").alias("n_links"),
@@ -335,11 +341,10 @@ def _links(docs: DataFrame, texts: DataFrame, similarity: float, gram: int) -> D
             _needed, "bucket bigint, left bigint, right bigint, band int, block bigint, node bigint"
         )
     )
-    # Texts are read again only where a route, one of at most ROUTES numbers, leads to a candidate.
+    # One text of each candidate is read again, where it lies.
     wanted = cut_lineage(needed.select("node").distinct().join(texts, "node"))
-    routes = wanted.select(_route("rep").alias("route")).distinct()
-    read = docs.join(F.broadcast(routes), _route("doc_id") == F.col("route"), "left_semi").select("text")
-    sets = read.mapInArrow(_sets(gram), "high bigint, low bigint, grams binary")
+    notes = flag(wanted.select("at.file", "at.place"), text_bytes(docs))
+    sets = docs.select("text", "file", "place").mapInArrow(_sets(gram, notes), "high bigint, low bigint, grams binary")
     held = sets.join(wanted, ["high", "low"]).groupBy("node").agg(
         F.first("grams").alias("grams"), F.first("bands").alias("bands"), F.first("copies").alias("copies")
     )
@@ -354,25 +359,15 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each class, the one with the largest ``doc_id``, with all its columns.
 
-    Rows whose route leads to no class pass as they are and are not moved.
+    The places of all rows that go are noted; the rows are read again and none of them moves.
     """
-    names = docs.columns
-    own = {n: unused(names, n) for n in ("content", "route", "member", "members", "group", "class_id")}
-    found = classes(docs, key=key, text=text, **options).where("n_links > 0")
-    found = cut_lineage(found.select("doc_id", "content", "group", "class_id").distinct())
-    routes = found.select(_route("doc_id").alias(own["route"])).distinct()
-    found = found.select(
-        F.col("doc_id").alias(own["member"]),
-        F.col("content").alias(own["members"]),
-        F.col("group").alias(own["group"]),
-        F.col("class_id").alias(own["class_id"]),
+    file, place = unused(docs.columns, "file"), unused(docs.columns, "place")
+    placed = located(docs, file, place)
+    lean = placed.select(
+        F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(file).alias("file"), F.col(place).alias("place")
     )
-    marked = docs.withColumn(own["content"], F.xxhash64(f"`{text}`"))
-    routed = F.pmod(F.xxhash64(f"`{key}`"), F.lit(ROUTES)) == F.col(own["route"])
-    passing = marked.join(F.broadcast(routes), routed, "left_anti")
-    same = F.col(f"`{key}`").eqNullSafe(F.col(own["member"])) & (F.col(own["content"]) == F.col(own["members"]))
-    met = marked.join(F.broadcast(routes), routed, "left_semi").join(found, same, "left")
-    single = met.where(F.col(own["group"]).isNull())
-    chosen = met.where(F.col(own["group"]).isNotNull() & F.col(f"`{key}`").eqNullSafe(F.col(own["class_id"])))
-    kept = [F.col(f"`{c}`") for c in names]
-    return passing.select(*kept).unionByName(single.select(*kept)).unionByName(chosen.dropDuplicates([own["group"]]).select(*kept))
+    found = cut_lineage(_classes(lean, **options).where("n_links > 0").select("doc_id", "file", "place", "group", "class_id"))
+    at = F.struct("file", "place")
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("group").agg(F.min(at).alias("stays"))
+    gone = found.select("group", "file", "place").join(stays, "group").where(at != F.col("stays"))
+    return without(placed, flag(gone, text_bytes(lean)), docs.columns, file, place)
