@@ -1,8 +1,10 @@
 """Sharding, licence scan, personal data: operators on built-in expressions only."""
 
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -137,6 +139,50 @@ def test_licences_of_odd_rows(odd, odd_clashing, empty):
     assert "Python" not in plan(licenses.scan(odd))
 
 
+def standing(text, idf):
+    """Brute force over all places: labels and score of the notices."""
+    w, labels, best = words(text), set(), 0.0
+    base = {label for p, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}
+    for notice in licenses.NOTICES:
+        own, phrase = licenses.notice_words(notice.text), notice.phrase.split()
+        at = next(i for i in range(len(own)) if own[i : i + len(phrase)] == phrase)
+        total = sum(idf[x] for x in own)
+        for i in range(len(w)):
+            if w[i : i + len(phrase)] == phrase:
+                labels.add(notice.label)
+                share = sum(idf[x] for k, x in enumerate(own) if 0 <= i - at + k < len(w) and w[i - at + k] == x) / total
+                best = max(best, round(min(1.0, share), 6))
+    return ",".join(sorted(labels | base)), max(best, 0.5 if base else 0.0)
+
+
+def test_labels_and_scores_against_brute_force(spark, texts):
+    pick = random.Random(3)
+    made = []
+    for _ in range(150):
+        own = [w for n in pick.sample(licenses.NOTICES, 2) for w in licenses.notice_words(n.text)]
+        for _ in range(pick.randint(0, 4)):
+            own[pick.randrange(len(own))] = pick.choice(["x", "the", "license"])
+        made.append(" ".join(own[pick.randint(0, 5) :]))
+    rows = [(-1 - n, t) for n, t in enumerate(made)] + texts
+    index = licenses.build_index()
+    anchored = [set(words(t)) for _, t in rows if set(words(t)) & set(index.anchors)]
+    idf = {w: math.log((len(rows) + 1) / (sum(w in a for a in anchored) + 1)) + 0.01 for w in index.vocabulary}
+    found = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(spark, rows)).collect()}
+    for key, text in rows:
+        labels, score = standing(text, idf)
+        assert found[key][0] == labels and abs(found[key][1] - score) < 2e-6, text
+
+
+def test_a_long_text_full_of_notices_takes_linear_time(spark):
+    notices = " ".join(n.text for n in licenses.NOTICES)
+    made = "the of to use " * 250_000 + " ".join([notices] * 50)
+    licenses.scan(frame(spark, [(0, notices)])).collect()
+    start = time.time()
+    row = licenses.scan(frame(spark, [(0, made)])).first()
+    assert time.time() - start < 40  # some ten seconds on a machine of its own, most of them for the plan
+    assert row.n_words > 1_000_000 and row.labels == ",".join(sorted({n.label for n in licenses.NOTICES})) and row.score == 1.0
+
+
 def test_a_phrase_has_to_stand_in_its_notice():
     with pytest.raises(ValueError):
         licenses.build_index((licenses.Notice("x", "some text", "other words"),))
@@ -219,6 +265,28 @@ def test_runs_of_any_length_take_linear_time_and_no_stack(spark):
     assert rows[5].n_email == 1 and rows[0].spans == ""
 
 
+def test_many_spans_in_one_text_take_linear_time(spark):
+    made = [" ".join(f"u{i}@mail.example.org" for i in range(n)) for n in (100, 200_000)]
+    pii.report(frame(spark, [(0, made[0])])).collect()
+    start = time.time()
+    found = pii.report(frame(spark, [(0, made[1])])).first()
+    assert found.n_email == 200_000 and time.time() - start < 30  # some seconds on a machine of its own
+    ends = [m.end() for m in re.finditer(r"\S+", made[1])]
+    assert [int(s.split(":")[2]) for s in found.spans.split(",")] == ends
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    good = "ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "GB82WEST12345698765432"
+    tails = ("", " EUR 20", " BANK", ".", " 1234 5678", "\nX")
+    rows = [f"{head}{iban}{tail}" for iban in good for tail in tails for head in ("", "pay ")]
+    bad = ["ES91 2100 0418 4502 0005 1333", "ES9121000418450200051332A", "XES9121000418450200051332", "ZZ93 8601 1117 947"]
+    found = pii.report(frame(spark, list(enumerate(rows + bad)))).orderBy("doc_id").collect()
+    for text, row in zip(rows, found):
+        iban = next(i for i in sorted(good, key=len, reverse=True) if i in text)
+        assert f"iban:{text.index(iban)}:{text.index(iban) + len(iban)}" in row.spans.split(","), text
+    assert not any("iban" in r.spans for r in found[len(rows) :])
+
+
 def test_checksums_and_context(spark):
     iban = "GB82 WEST 1234 5698 7654 32"
     rows = [(0, f"bank account {iban}"), (1, f"code {iban[:-1]}3"), (2, "mail me: a@b.cd"), (3, "zz a@b.cd")]
