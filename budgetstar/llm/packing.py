@@ -3,8 +3,8 @@
 A sequence has three capacities: tokens, documents and attention cost (sum of squared lengths).
 Pieces go, largest first, into the open sequence that fits under every capacity and is best by a
 weighted rule: the largest dot product of need and residual, or the smallest norm of what would
-remain. Lots of bounded size are packed apart, so the work of a task does not grow with the corpus;
-a lot loses at most a few partly filled sequences.
+remain. Lots of bounded size are packed apart, so the work of a task does not grow with the corpus.
+Pieces of sequences that a lot leaves partly filled meet those of other lots in further rounds.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from budgetstar.llm.text import pieces, plain
 from budgetstar.sources.shared import cut_lineage
 
 LOT = 8192  # pieces that are packed together
+FULL = 0.998  # share of a capacity from which a sequence is not opened again
 
 
 @dataclass(frozen=True)
@@ -122,12 +125,31 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limi
     """Pieces with ``sequence_id`` and ``offset``.
 
     Pieces are written once and numbered there; their number decides the lot, so neither equal
-    ``doc_id`` nor equal texts pile up in one.
+    ``doc_id`` nor equal texts pile up in one. Full sequences stay as they are; the pieces of the
+    others are packed again, until one lot holds them or a round fills less than half of them, which
+    means that they do not fit together better.
     """
-    cut_up = cut_lineage(cut(docs, tokenizer, end_id, limits.piece, key, text))
-    lots = max(1, -(-cut_up.count() // LOT))
-    dealt = cut_up.withColumn("lot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lots)))
-
+    open_ = cut_lineage(cut(docs, tokenizer, end_id, limits.piece, key, text))
+    kind = open_.schema["doc_id"].dataType.simpleString()
+    columns = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
+    waiting, done = open_.count(), []
+    for turn in count():
+        lots = max(1, -(-waiting // LOT))
+        dealt = open_.withColumn("lot", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(lots)))
+        packed = dealt.groupBy("lot").applyInArrow(_pack_lot(limits, turn), f"{columns}, sequence_id bigint, offset bigint, full boolean")
+        if lots == 1 and not done:
+            return packed.drop("full")
+        packed = cut_lineage(packed)
+        left = packed.where("NOT full").count()
+        if lots == 1 or 2 * left > waiting:
+            done.append(packed)
+            break
+        done.append(packed.where("full"))
+        open_, waiting = packed.where("NOT full").drop("sequence_id", "offset", "full"), left
+    return reduce(DataFrame.unionByName, done).drop("full")
+
+
+def _pack_lot(limits: Limits, turn: int):
     def run(lot: pa.Table) -> pa.Table:
         lengths = lot.column("length").to_numpy()
         sequence = assign(lengths, limits)
@@ -137,10 +159,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limi
         ahead -= np.maximum.accumulate(np.where(first, ahead, 0))
         offset = np.empty(len(lengths), np.int64)
         offset[order] = ahead
-        number = (lot.column("lot").to_numpy() << 32) + sequence
-        return lot.drop_columns(["lot"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
-
-    kind = cut_up.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("lot").applyInArrow(
-        run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    )
+        used = np.stack([np.bincount(sequence, w) for w in (lengths, np.ones(len(lengths)), lengths.astype(float) ** 2)])
+        capacity = np.array([limits.tokens, limits.documents, limits.cost], float)
+        smallest = float(lengths.min())
+        # Full: hardly anything is left, or not even the smallest piece of the lot fits.
+        least = np.minimum(FULL * capacity, capacity - np.array([smallest, 1, smallest**2]) + 1)
+        full = (used >= least[:, None]).any(axis=0)[sequence]
+        number = (turn << 56) + (lot.column("lot").to_numpy() << 20) + sequence
+        out = lot.drop_columns(["lot"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
+        return out.append_column("full", pa.array(full))
+
+    return run
