@@ -18,13 +18,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetstar.llm.encoding import encoder as encoder_of
 from budgetstar.llm.encoding import filled
+from budgetstar.llm.located import open_store
 from budgetstar.llm.text import pieces, plain
 from budgetstar.sources.shared import application_folder, cut_lineage
 
@@ -39,10 +39,6 @@ class CorruptFrame(ValueError):
     """Bytes of a frame do not match its checksum."""
 
 
-def open_store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 class Writer:
     """Writes one file; ids of documents have to come in the order they are to be stored."""
 
@@ -165,9 +161,13 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
 
     One file per range of ``doc_id`` (rows of one ``doc_id`` are dealt on by their text), written
     under another name and then renamed, so a repeated task replaces its own file. Null text counts
-    as empty, null ``doc_id`` come first. The list has ``part``, ``path``, ``docs`` and ``ids``.
+    as empty, null ``doc_id`` come first. The list has ``part``, ``path``, ``docs`` and ``ids``. The
+    files hold 64-bit keys: another type of ``doc_id`` than an integer raises a ``TypeError``.
     """
     spark = docs.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} is of type {kind}; token files hold 64-bit integers as keys")
     folder = folder or f"{application_folder(spark)}/token-files-{uuid.uuid4().hex[:12]}"
     docs = plain(docs, key, text)
 
@@ -202,7 +202,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     return cut_lineage(dealt.select("doc_id", "text").mapInArrow(run, "part bigint, path string, docs bigint, ids bigint"))
 
 
-def read_files(files: DataFrame, kind: str = "bigint") -> DataFrame:
+def read_files(files: DataFrame) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids_crc32`` from the files.
 
     Sums over the list of files place each file; a task reads whole files frame by frame.

@@ -1,5 +1,6 @@
 """Token counts, token files, packing: equal to the library, exact round trips, capacities."""
 
+import math
 import random
 import zlib
 
@@ -254,3 +255,22 @@ def test_a_worker_keeps_the_cache_asked_for_last():
     first = kept_by_worker("first", dict)
     assert kept_by_worker("first", dict) is first
     assert kept_by_worker("second", dict) is not first and kept_by_worker("first", dict) is not first
+
+
+def test_partly_filled_sequences_of_lots_meet_again(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LOT", 600)
+    rows = [(i, "one two three four five six seven eight nine ten eleven twelve " + "and more " * (i % 4)) for i in range(5000)]
+    sequences, tokens = check_packing(frame(spark, rows), rows)
+    assert sequences <= math.ceil(tokens / 4096 * 1.005)
+
+
+def test_pieces_that_never_fill_a_sequence_end_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LOT", 10)
+    rows = [(i, "word " * 2500) for i in range(60)]
+    sequences, _ = check_packing(frame(spark, rows), rows)
+    assert sequences == 60
+
+
+def test_token_files_ask_for_integer_keys(spark):
+    with pytest.raises(TypeError, match="integers"):
+        token_files.write_files(frame(spark, [(1, "a")]).selectExpr("cast(doc_id as string) as doc_id", "text"), BYTES)
