@@ -57,8 +57,8 @@ class Measure:
     """An aggregate split into a part per key tuple and a merge of those parts.
 
     All parts are exact (decimal sums, counts, extremes), so the result does not depend on how
-    rows are spread over tasks. Variance and deviation have no parts that merge without
-    cancellation in columns; ``aggregate`` lets Spark merge their moments over the joined facts.
+    rows are spread over tasks. Squares of amounts in cents do not fit a number; they are summed in
+    two limbs of nine digits, high and low, which merge by plain addition.
     """
 
     function: str = "sum"
@@ -81,8 +81,8 @@ class Measure:
             "min": {"lo": F.min(value)},
             "max": {"hi": F.max(value)},
             "avg": {"s": total, "n": rows},
-            "variance": {"v": F.var_samp(value)},
-            "stddev": {"v": F.var_samp(value)},
+            "variance": _limb_sums(value),
+            "stddev": _limb_sums(value),
             "array_agg": {"a": F.collect_set(value)},
         }
         if self.function not in choices:
@@ -92,9 +92,9 @@ class Measure:
         return choices[self.function]
 
     def merged(self, name: str) -> dict[str, Column]:
-        merge = {"s": F.sum, "n": F.sum, "lo": F.min, "hi": F.max}
+        merge = {"lo": F.min, "hi": F.max}
         return {
-            p: F.array_distinct(F.flatten(F.collect_set(f"{name}__a"))) if p == "a" else merge[p](f"{name}__{p}")
+            p: F.array_distinct(F.flatten(F.collect_set(f"{name}__a"))) if p == "a" else merge.get(p, F.sum)(f"{name}__{p}")
             for p in self.parts()
         }
 
@@ -113,11 +113,42 @@ class Measure:
         rows = as_double(part("n"))
         if self.function == "avg":
             return F.when(part("n") > 0, as_double(part("s")) / rows)
-        return part("v") if self.function == "variance" else F.sqrt(part("v"))
+        variance = _variance(name)
+        return variance if self.function == "variance" else F.sqrt(variance)
 
-    @property
-    def mergeable(self) -> bool:
-        return self.function not in ("variance", "stddev")
+
+_LIMB = 1_000_000_000
+
+
+def _limb_sums(value: Column) -> dict[str, Column]:
+    """Sums of both limbs of the amounts in cents and of their products; no term exceeds 18 digits."""
+    cents = (value.cast("decimal(18,2)") * F.lit(100)).cast("bigint")
+    low = F.pmod(cents, F.lit(_LIMB))
+    high = ((cents - low) / F.lit(_LIMB)).cast("bigint")
+    terms = {"n": F.count(value), "h": high, "l": low, "hh": high * high, "hl": high * low, "ll": low * low}
+    return {k: t if k == "n" else F.sum(t.cast("decimal(20,0)")) for k, t in terms.items()}
+
+
+def _variance(name: str) -> Column:
+    """Sample variance from limb sums.
+
+    Sums are moved to the whole number of cents next to the mean, limb by limb, which stays exact.
+    Close amounts leave a small high part, and all is added exactly; of amounts so far apart that
+    this would not fit, the high part is nearly everything and nothing cancels.
+    """
+    part = {k: f"CAST(`{name}__{k}` AS DECIMAL(38,0))" for k in ("n", "h", "l", "hh", "hl", "ll")}
+    mean = f"(({part['h']} * {_LIMB} + {part['l']}) div {part['n']})"
+    low = f"CAST(pmod({mean}, {_LIMB}) AS DECIMAL(10,0))"
+    high = f"CAST(({mean} - pmod({mean}, {_LIMB})) div {_LIMB} AS DECIMAL(10,0))"
+    n = f"CAST(`{name}__n` AS DECIMAL(18,0))"
+    hh = f"({part['hh']} - 2 * {high} * {part['h']} + {n} * ({high} * {high}))"
+    hl = f"({part['hl']} - {low} * {part['h']} - {high} * {part['l']} + {n} * ({high} * {low}))"
+    ll = f"({part['ll']} - 2 * {low} * {part['l']} + {n} * ({low} * {low}))"
+    exact = f"CAST({hh} * CAST({_LIMB**2} AS DECIMAL(19,0)) + {hl} * {2 * _LIMB} + {ll} AS DOUBLE)"
+    rough = f"(CAST({hh} AS DOUBLE) * {float(_LIMB) ** 2} + CAST({hl} AS DOUBLE) * {2.0 * _LIMB} + CAST({ll} AS DOUBLE))"
+    squares = f"CASE WHEN {hh} < CAST(1{'0' * 18} AS DECIMAL(38,0)) THEN {exact} ELSE {rough} END"
+    rest = f"CAST({part['h']} * {_LIMB} + {part['l']} - {part['n']} * {mean} AS DOUBLE)"  # the mean is no whole number
+    return F.expr(f"CASE WHEN `{name}__n` > 1 THEN ({squares} - {rest} * {rest} / `{name}__n`) / 10000 / (`{name}__n` - 1) END")
 
 
 def phase_total(phase: str) -> Measure:
@@ -203,8 +234,7 @@ def aggregate(
     keys = [d.key for d in owners(dim_columns)]
     fact_groups = [c for c in by.values() if c in attached and c not in keys]
     parts = [p.alias(f"{n}__{k}") for n, m in measures.items() for k, p in m.parts().items()]
-    in_parts = all(m.mergeable for m in measures.values())
-    partial = fact.groupBy(*keys, *fact_groups).agg(*parts) if in_parts else fact
+    partial = fact.groupBy(*keys, *fact_groups).agg(*parts)
 
     if dim_columns:
         partial, _ = join_members(partial, star, dim_columns, how)
@@ -213,9 +243,7 @@ def aggregate(
         for condition in where:
             partial = partial.where(condition)
     groups = [F.col(c).alias(o) for o, c in by.items()]
-    if not in_parts:
-        partial = partial.groupBy(*groups).agg(*parts)
-    elif dim_columns:
+    if dim_columns:
         merged = [p.alias(f"{n}__{k}") for n, m in measures.items() for k, p in m.merged(n).items()]
         partial = partial.groupBy(*groups).agg(*merged)
     else:

@@ -1,4 +1,7 @@
+import random
 import statistics
+from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from conftest import tiny_star
@@ -173,6 +176,24 @@ def test_variance_of_near_equal_billions(spark, by):
     assert row.v == pytest.approx(1.6667e-4, rel=0.01) and row.n == 4
 
 
+@pytest.mark.parametrize("spread", [1, 10**6, 10**11, 10**15])
+def test_variance_is_exact_at_any_spread(spark, spread):
+    pick = random.Random(spread)
+    cents = [pick.randrange(-spread, spread) + 999_999_999 for _ in range(300)]
+    amounts = [str(Decimal(c) / 100) for c in cents]
+    star = tiny_star(spark, [(1 + n % 2, 2024, "pim", a) for n, a in enumerate(amounts)], PLACES)
+    mean = Fraction(sum(cents), len(cents))
+    wanted = float(sum((c - mean) ** 2 for c in cents) / (len(cents) - 1) / 10_000)
+    row = aggregate(star, {"v": Measure("variance"), "d": Measure("stddev")}, {"y": "anio"}).first()
+    assert row.v == pytest.approx(wanted, rel=1e-12) and row.d == pytest.approx(row.v**0.5)
+
+
+def test_variance_is_combined_before_the_join(spark):
+    star = tiny_star(spark, [(1, 2024, "pim", "1.00"), (1, 2024, "pim", "2.00")], PLACES)
+    text = aggregate(star, {"v": Measure("variance")}, {"d": "departamento_ejecutora_nombre"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [sk_geografia_id" in text[text.index("Join") :]
+
+
 def test_variance_of_the_largest_amounts(spark):
     star = tiny_star(spark, [(1, 2024, "pim", "9999999999999999.99")] * 200, PLACES)
     assert aggregate(star, {"v": Measure("variance")}, {"y": "anio"}).first().v == pytest.approx(0, abs=100)
