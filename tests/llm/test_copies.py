@@ -224,3 +224,13 @@ def test_hits_of_odd_rows(spark, odd, odd_clashing, empty):
     assert sorted(r.n_words for r in rows) == sorted(len(words(t)) for _, t in ODD)
     assert decontaminate.scan(empty, items).count() == 0
     assert decontaminate.drop_contaminated(odd_clashing, items.limit(0)).count() == len(ODD)
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.drop_copies, near_join.keep_one])
+def test_rows_that_stay_are_read_in_place(spark, docs, stage):
+    """Half of all texts repeated: the last read of the texts has no exchange above it."""
+    rows = [(i, f"text number {i // 2 if i % 4 < 2 else i} with some more words behind it") for i in range(200)]
+    left = stage(frame(spark, rows))
+    text = left._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "MapInArrow" in text
+    assert left.count() == len({t for _, t in rows})
