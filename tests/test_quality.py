@@ -161,3 +161,18 @@ def test_execution_tiers(spark, rate, tier):
 def test_percent_text_drops_one_trailing_zero(spark):
     table = spark.createDataFrame([(Decimal(1), Decimal(3)), (Decimal(1), Decimal(2)), (Decimal(1), Decimal(0))], "a decimal(18,2), b decimal(18,2)")
     assert [r[0] for r in table.select(percent_text(F.col("a"), F.col("b"))).collect()] == ["33.33 %", "50.0 %", None]
+
+
+def test_drift_names_rows_with_their_number(spark):
+    rows = [(i, f"name {i}") for i in range(300)]
+    a = spark.createDataFrame([*rows, (1, "name 1"), (2, None)], "k int, name string")
+    b = spark.createDataFrame([*rows[1:], (2, "x|y"), (2, "x|y")], "k int, name string")
+    alone = spark.createDataFrame([(7,)], "k int")
+    for ranges in (1, 16, 1 << 14):
+        found = quality.drift_rows({"t": a, "u": alone}, {"t": b}, ranges)
+        got = sorted((r.table_name, r.side, r.row, r.n) for r in found.collect())
+        wanted = [("t", "first", "0|name 0", 1), ("t", "first", "1|name 1", 1), ("t", "first", "2|~", 1), ("t", "second", "2|x|y", 2), ("u", "first", "7", 1)]
+        assert got == wanted
+    assert quality.drift_rows({"t": a}, {"t": a}).count() == 0
+    with pytest.raises(ValueError, match="other columns"):
+        quality.drift_rows({"t": a}, {"t": alone})
