@@ -187,7 +187,7 @@ def _stage_report(totals: DataFrame, quantiles: Sequence[str]) -> DataFrame:
     ).orderBy("stage")
 
 
-def _duration_band() -> Column:
+def duration_band() -> Column:
     """A band that grows with the duration, sixteen to a doubling: at most some 750 per stage."""
     hundredths = F.greatest(F.col("duration_ms"), F.lit(0)).cast("double") * 100.0 + 1.0
     return F.floor(F.log2(hundredths) * 16.0).cast("int")
@@ -200,7 +200,7 @@ def duration_percentiles(stages: DataFrame, percents: Sequence[int]) -> DataFram
     tell which band holds a rank; only the durations of that band are put in order.
     """
     counted = stages.where(F.col("duration_ms").isNotNull()).groupBy("stage", "duration_ms").agg(F.count("*").alias("n"))
-    counted = counted.withColumn("band", _duration_band())
+    counted = counted.withColumn("band", duration_band())
     by_stage = Window.partitionBy("stage")
     so_far = by_stage.orderBy("band").rowsBetween(Window.unboundedPreceding, 0)
     bands = counted.groupBy("stage", "band").agg(F.sum("n").alias("inside"))

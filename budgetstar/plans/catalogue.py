@@ -44,6 +44,7 @@ from budgetstar.sources import bronze, fixture
 from budgetstar.sources.parquet import register_star as register_views
 from budgetstar.sources.parquet import write_layer
 from budgetstar.sources.shared import application_folder
+from budgetstar.streaming import traces
 from budgetstar.streaming.ingest import ingest_incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -678,6 +679,20 @@ def trace_stage_stats_approx(at: Layers) -> DataFrame:
     return both.select("stage", "runs", "p50_ms", "p95_ms", (close[0] & close[1]).alias("within_tolerance"))
 
 
+@query
+def trace_stage_stats_stream(at: Layers) -> DataFrame:
+    """The log delivered in three parts, counted by a stream that goes on after each."""
+    folder = f"{application_folder(at.spark)}/traces-{uuid.uuid4().hex[:12]}"
+    log = fixture.trace_log(at.spark, at.source)
+    for part in range(3):
+        delivered = log.where(F.pmod(F.xxhash64("trace_id"), F.lit(3)) == part).select("payload")
+        delivered.write.mode("append").text(f"{folder}/log")
+        traces.write_band_counts(traces.read_trace_stream(at.spark, f"{folder}/log"), f"{folder}/bands", f"{folder}/marks").awaitTermination()
+    return traces.stage_percentiles(at.spark.read.parquet(f"{folder}/bands")).select(
+        "stage", "runs", "failed", "max_ms", "p50_band", "p95_band"
+    )
+
+
 @query
 def trace_failures(at: Layers) -> DataFrame:
     return logs.trace_failures(fixture.trace_log(at.spark, at.source))

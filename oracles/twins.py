@@ -580,6 +580,10 @@ SELECT stage, count(*) AS runs, count(*) FILTER (WHERE failed) AS failed, {dbl('
   {dbl('min(CASE WHEN rn * 100 >= n * 50 THEN ms END)')} AS p50_ms, {dbl('min(CASE WHEN rn * 100 >= n * 95 THEN ms END)')} AS p95_ms,
   {dbl('max(ms)')} AS max_ms
 FROM ranked GROUP BY stage"""
+# Bands grow with the duration, sixteen to a doubling.
+ORACLES["trace_stage_stats_stream"] = f"""SELECT stage, runs, failed, max_ms,
+  CAST(floor(log2(p50_ms * 100.0 + 1.0) * 16.0) AS INTEGER) AS p50_band, CAST(floor(log2(p95_ms * 100.0 + 1.0) * 16.0) AS INTEGER) AS p95_band
+FROM ({ORACLES['trace_stage_stats']})"""
 ORACLES["trace_failures"] = """SELECT failure_type, count(*) AS queries, count(DISTINCT user_id) AS sessions FROM (
   SELECT user_id, CASE WHEN event_type = 'error'
       THEN CASE event_id % 3 WHEN 0 THEN 'SQL_SYNTAX_ERROR' WHEN 1 THEN 'MISSING_GROUP_BY' ELSE 'DATA_JOIN_MISMATCH' END

@@ -12,7 +12,7 @@ from budgetstar.operators.logs import (
     trace_stage_stats_approx,
 )
 from budgetstar.operators.questions import GRAIN_WORDS, tag_question_grain
-from budgetstar.streaming.traces import read_trace_stream, write_stage_counts
+from budgetstar.streaming.traces import read_trace_stream, stage_percentiles, write_band_counts, write_stage_counts
 
 
 def tag(spark, question, **options):
@@ -192,3 +192,26 @@ def test_trace_stream_counts_new_files_only_once(spark, tmp_path):
 
     assert run("a.json", _trace("A", 1.5), _trace("B", 2.0, "failed")) == [("A", 1, 0, 1.5), ("B", 1, 1, 2.0)]
     assert run("b.json", _trace("A", 0.25)) == [("A", 2, 0, 1.75), ("B", 1, 1, 2.0)]
+
+
+def test_percentiles_of_the_stream_bound_the_exact_ones(spark, tmp_path):
+    source, target, marks = (tmp_path / n for n in ("logs", "out", "marks"))
+    source.mkdir()
+    pick, lines = random.Random(4), []
+    for part in range(3):
+        new = [_trace(pick.choice("AB"), round(pick.expovariate(0.01), 2), pick.choice(["ok", "failed"])) for _ in range(150)]
+        new += [_trace("C", None), _trace("A", 0.0)]
+        (source / f"{part}.json").write_text("\n".join(new) + "\n", encoding="utf-8")
+        lines += new
+        write_band_counts(read_trace_stream(spark, str(source)), str(target), str(marks)).awaitTermination(120)
+    got = {r.stage: r for r in stage_percentiles(spark.read.parquet(str(target)), (50, 95)).collect()}
+    exact = trace_stage_stats(spark.createDataFrame([(x,) for x in lines], "payload string")).collect()
+    assert set(got) == {r.stage for r in exact} == {"A", "B", "C"}
+    for r in exact:
+        mine = got[r.stage]
+        assert (mine.runs, mine.failed, mine.max_ms) == (r.runs, r.failed, r.max_ms)
+        for p in (50, 95):
+            if r[f"p{p}_ms"] is None:
+                assert mine[f"p{p}_band"] is None
+            else:
+                assert mine[f"p{p}_low"] <= r[f"p{p}_ms"] <= mine[f"p{p}_high"]
