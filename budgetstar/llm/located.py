@@ -19,10 +19,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from budgetstar.llm.text import pieces
 from budgetstar.sources.shared import application_folder, cut_lineage
 
 BLOCK_BITS, CHUNK_BITS = 12, 6  # rows of a file in a block, blocks in a chunk that is read at once
 BUCKET_BYTES = 256 << 20  # text that shares a bucket of notes
+PASSED_BYTES = 4 << 20  # of rows that pass a task at once
 _PASSING = ("Project", "Filter", "SubqueryAlias")
 _PLACED = {"s3a": "s3", "s3n": "s3"}  # names that Hadoop has for a store
 _KNOWN = ("file", "s3", "gs", "gcs", "hdfs", "viewfs", "abfs", "abfss", "mock")
@@ -93,7 +95,7 @@ def flag(places: DataFrame, corpus_bytes: int) -> Notes:
 def flagged(batches: Iterator[pa.RecordBatch], notes: Notes, wanted: bool = True, file: str = "file", place: str = "place") -> Iterator[pa.RecordBatch]:
     """The rows of a scan that are flagged, or all others."""
     reader = notes.reader()
-    for batch in batches:
+    for batch in pieces(batches, PASSED_BYTES):  # whole rows pass: small batches keep the memory of both sides small
         keep = np.full(batch.num_rows, not wanted)
         where = pa.RecordBatch.from_arrays([batch.column(file), batch.column(place)], names=["file", "place"])
         places = where.column("place").to_numpy()
@@ -102,6 +104,7 @@ def flagged(batches: Iterator[pa.RecordBatch], notes: Notes, wanted: bool = True
                 keep[a:b] = np.isin(places[a:b], found.column("place").to_numpy()) == wanted
         if keep.any():
             yield batch if keep.all() else batch.filter(pa.array(keep))
+    pa.default_memory_pool().release_unused()
 
 
 def without(placed: DataFrame, notes: Notes, names: list[str], file: str, place: str) -> DataFrame:
