@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 from budgetstar.llm.text import kept_by_worker, segments
 
-GENERATION = 500_000  # pieces of a generation; a worker remembers two, about 150 bytes a piece
+GENERATION = 250_000  # pieces of a generation; a worker remembers two, about 150 bytes a piece
 JOINED = 256  # new pieces that are encoded in one text, with a special string between them
 
 # A run of Latin letters ends before ASCII punctuation in any public pattern.
