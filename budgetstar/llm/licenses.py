@@ -63,7 +63,7 @@ class Index:
     notices: tuple[Notice, ...]
 
     @property
-    def anchors(self) -> list[str]:
+    def longest(self) -> list[str]:
         """A word of every phrase that can be reported: the longest of a mandatory phrase, and of a base phrase."""
         longest = {max(n.phrase.split(), key=len) for n in self.notices}
         return sorted(longest | {max(p.split(), key=len) for p in BASE})
@@ -73,6 +73,11 @@ class Index:
         base = {w for p in BASE for w in p.split()}
         return sorted({w for n in self.notices for w in notice_words(n.text)} | base)
 
+    @property
+    def anchors(self) -> list[str]:
+        """Words whose rows take part in the document frequencies: all, so that no row with one goes uncounted."""
+        return self.vocabulary
+
 
 def build_index(notices: tuple[Notice, ...] = NOTICES) -> Index:
     for number, notice in enumerate(notices):
@@ -85,19 +90,21 @@ def build_index(notices: tuple[Notice, ...] = NOTICES) -> Index:
 def scan(docs: DataFrame, index: Index | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: counts, places, labels and score; null text counts as empty.
 
-    The text is read once; later steps need the words of the few documents that hold an anchor, which
-    are written. From there each row is looked at alone, in time linear in its words. ``score`` is the
-    share of the best notice's inverse document frequency that stands in place, 0 without a label;
-    base phrases alone score their own notice's share or at least 0.5.
+    The text is read once; later steps need the notice words that each row holds, for the document
+    frequencies, and all words of the few documents that can hold a phrase, which are written. From
+    there each row is looked at alone, in time linear in its words. ``score`` is the share of the best
+    notice's inverse document frequency that stands in place, 0 without a label; base phrases alone
+    score their own notice's share or at least 0.5.
     """
     index = index or build_index()
     listed = F.split(lower_ascii(F.coalesce("text", F.lit(""))), NOT_WORD)
     body = plain(docs, key, text).select("doc_id", F.filter(listed, lambda w: w != "").alias("words"))
-    # No mandatory or base phrase stands in a text without its anchor word, so other texts end here.
-    telling = F.when(F.arrays_overlap("words", F.lit(index.anchors)), F.col("words")).otherwise(F.array().cast("array<string>"))
-    table = cut_lineage(body.select("doc_id", F.size("words").cast("bigint").alias("n_words"), telling.alias("words")))
+    noted = body.select("doc_id", "words", F.array_intersect("words", F.lit(index.anchors)).alias("held"))
+    # No mandatory or base phrase stands in a text without its longest word, so the words of other texts end here.
+    telling = F.when(F.arrays_overlap("held", F.lit(index.longest)), F.col("words")).otherwise(F.array().cast("array<string>"))
+    table = cut_lineage(noted.select("doc_id", F.size("words").cast("bigint").alias("n_words"), "held", telling.alias("words")))
 
-    documents, held = document_frequencies(table, index)
+    documents, held = document_frequencies(table)
     idf = {w: math.log((documents + 1) / (held.get(w, 0) + 1)) + 0.01 for w in index.vocabulary}
     # A phrase cannot stand in a text without its rarest word, so looking that one up loses no notice.
     rarest = [min(n.phrase.split(), key=lambda w: (-idf[w], w)) for n in index.notices]
@@ -149,10 +156,10 @@ def _base_places() -> Column:
     return F.concat(*[found(p.split(), label) for p, label in BASE.items()])
 
 
-def document_frequencies(table: DataFrame, index: Index) -> tuple[int, dict[str, int]]:
-    """Rows of the corpus, and rows with an anchor that hold each notice word: never more entries than notice words."""
+def document_frequencies(table: DataFrame) -> tuple[int, dict[str, int]]:
+    """Rows of the corpus, and its rows that hold each notice word: never more entries than notice words."""
     rows = table.count()
-    held = table.where(F.size("words") > 0).select(F.explode(F.array_intersect(F.lit(index.vocabulary), "words")).alias("word"))
+    held = table.select(F.explode("held").alias("word"))
     return rows, {r.word: r.n for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 

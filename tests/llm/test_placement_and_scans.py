@@ -173,6 +173,17 @@ def test_labels_and_scores_against_brute_force(spark, texts):
         assert found[key][0] == labels and abs(found[key][1] - score) < 2e-6, text
 
 
+def test_document_frequencies_are_of_all_rows(spark, texts):
+    part = "Licensed under the GNU General Public License, version 2"  # the last word differs from the notice
+    others = [(-2, None), (-3, ""), *((-4 - i, "under the sun") for i in range(300))]  # hold no phrase, but its words
+    rows = [(-1, part), *others, *texts]
+    held = Counter(w for _, t in rows for w in set(words(t)))
+    idf = {w: math.log((len(rows) + 1) / (held[w] + 1)) + 0.01 for w in licenses.build_index().vocabulary}
+    labels, score = standing(part, idf)
+    row = licenses.scan(frame(spark, rows)).where("doc_id = -1").first()
+    assert row.labels == labels == "gpl" and abs(row.score - score) < 2e-6
+
+
 def test_a_long_text_full_of_notices_takes_linear_time(spark):
     notices = " ".join(n.text for n in licenses.NOTICES)
     made = "the of to use " * 250_000 + " ".join([notices] * 50)
