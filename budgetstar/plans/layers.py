@@ -65,9 +65,11 @@ class Layers:
 
     @property
     def silver_folder(self) -> str:
-        return _kept(
-            self.spark, f"{self._tag}-silver", lambda to: write_layer(keyed_wide(clean_silver(self.wide)), to)
-        )
+        def write(to: str) -> None:
+            for wide in fixture.budget_slices(self.spark, self.source):
+                write_layer(keyed_wide(clean_silver(wide)), to, mode="append")
+
+        return _kept(self.spark, f"{self._tag}-silver", write)
 
     @property
     def silver(self) -> DataFrame:

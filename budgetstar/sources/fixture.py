@@ -19,33 +19,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _phase_amounts() -> dict[str, Column]:
+def _amounts() -> dict[str, Column]:
+    """The amounts of a line item that phases are made of."""
     ext = F.col("l_extendedprice").cast("decimal(12,2)")
     net = ext * (F.lit(1).cast("decimal(1,0)") - F.col("l_discount").cast("decimal(4,2)"))
     dec = lambda text: F.lit(text).cast("decimal(3,2)")
+    return {"open": ext * dec("0.90"), "ext": ext, "net": net, "due": net * dec("0.95"), "low": net * dec("0.50")}
+
+
+def _phase_amounts(size: str) -> dict[str, Column]:
+    """Phases from the ``full`` or ``half`` amounts."""
+    amount = {name: F.col(f"{size}_{name}") for name in _amounts()}
     finished = F.col("l_linestatus") == "F"
     return {
-        "pia": F.when(F.col("l_linenumber") % 3 == 0, dec("0.00")).otherwise(ext * dec("0.90")),
-        "pim": ext,
-        "certificado": F.when(F.col("l_returnflag") != "N", net),
-        "comprometido_anual": net,
-        "comprometido": net * dec("0.95"),
-        "devengado": F.when(finished, net).otherwise(net * dec("0.50")),
-        "girado": F.when(finished, net),
+        "pia": F.when(F.col("l_linenumber") % 3 == 0, F.lit("0.00").cast("decimal(18,2)")).otherwise(amount["open"]),
+        "pim": amount["ext"],
+        "certificado": F.when(F.col("l_returnflag") != "N", amount["net"]),
+        "comprometido_anual": amount["net"],
+        "comprometido": amount["due"],
+        "devengado": F.when(finished, amount["net"]).otherwise(amount["low"]),
+        "girado": F.when(finished, amount["net"]),
     }
 
 
-def wide_budget(spark: SparkSession, sf_dir: str, years: Sequence[int] = YEARS) -> DataFrame:
+SLICE_BYTES, SLICES = 128 << 20, 4
+
+
+def budget_slices(spark: SparkSession, sf_dir: str, years: Sequence[int] = YEARS) -> list[DataFrame]:
+    """The records of ``wide_budget`` in slices by the hash of the order key, each record in one of them.
+
+    Written one after the other, they take the local disk for the shuffles of one slice only. Line
+    items and orders are read once per slice, so large tables have SLICES of them and no more.
+    """
+    size = int(str(table(spark, sf_dir, "lineitem")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    count = min(SLICES, max(1, -(-size // SLICE_BYTES)))
+    return [wide_budget(spark, sf_dir, years, (number, count)) for number in range(count)]
+
+
+def wide_budget(
+    spark: SparkSession, sf_dir: str, years: Sequence[int] = YEARS, part: tuple[int, int] = (0, 1)
+) -> DataFrame:
     """One budget record per line item: descriptive columns plus one amount per phase and year.
 
     Join strategies are left to the optimizer: region, nation and supplier are small at any scale
     factor it has seen, part and customer are broadcast only while their measured size allows it.
-    Line items are dealt by the key of their first join, at any size.
+    Line items are dealt by the key of their first join, at any size. Orders meet their customers
+    before the line items do, and names of nations and regions come last, so what is dealt again by
+    the next key is never wider than it has to be. ``part`` is the number of a slice and their count.
     """
-    line, orders = table(spark, sf_dir, "lineitem").repartition("l_orderkey"), table(spark, sf_dir, "orders")
-    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+
+    def sliced(name: str, key: str) -> DataFrame:
+        number, count = part
+        rows = table(spark, sf_dir, name)
+        return rows if count == 1 else rows.where(F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(count)) == number)
+
+    line = sliced("lineitem", "l_orderkey").withColumn("y0", F.year("l_shipdate")).repartition("l_orderkey")
+    orders, customer = sliced("orders", "o_orderkey"), table(spark, sf_dir, "customer")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    part = table(spark, sf_dir, "part")
+    supplier, part = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
 
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey").alias("c_nation"),
@@ -54,14 +85,14 @@ def wide_budget(spark: SparkSession, sf_dir: str, years: Sequence[int] = YEARS)
         F.col("r_name").alias("departamento_nombre"),
     )
     sectors = nation.select(F.col("n_nationkey").alias("s_nation"), F.col("n_name").alias("s_nation_name"))
-    buyers = customer.join(places, F.col("c_nationkey") == F.col("c_nation"))
-    units = supplier.join(sectors, F.col("s_nationkey") == F.col("s_nation"))
+    bought = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
 
     joined = (
-        line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(units, F.col("l_suppkey") == F.col("s_suppkey"))
+        line.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(places, F.col("c_nationkey") == F.col("c_nation"))
+        .join(sectors, F.col("s_nationkey") == F.col("s_nation"))
     )
 
     def sector(value: str) -> Column:
@@ -100,20 +131,20 @@ def wide_budget(spark: SparkSession, sf_dir: str, years: Sequence[int] = YEARS)
     descriptive = [
         known.get(c, F.lit(None)).cast("string").alias(c) for d in DIMENSIONS for c in d.columns
     ]
-    # Full and half amounts are worked out once per record and phase; the cells only pick one.
-    shipped, line_no = F.year("l_shipdate"), F.col("l_linenumber")
-    parts = {"y0": shipped, "odd": line_no % 2 == 1}
-    for phase, amount in _phase_amounts().items():
+    # Full and half amounts are worked out once per record; the cells only pick one.
+    odd = F.col("l_linenumber") % 2 == 1
+    parts = {"odd": odd}
+    for name, amount in _amounts().items():
         base = amount.cast("decimal(18,6)")
-        parts[f"full_{phase}"] = base.cast("decimal(18,2)")
-        parts[f"half_{phase}"] = (base * F.lit("0.50").cast("decimal(3,2)")).cast("decimal(18,2)")
+        parts[f"full_{name}"] = base.cast("decimal(18,2)")
+        parts[f"half_{name}"] = F.when(odd, (base * F.lit("0.50").cast("decimal(3,2)")).cast("decimal(18,2)"))
     joined = joined.withColumns(parts)
+    full, half = _phase_amounts("full"), _phase_amounts("half")
 
     def cell(phase: str, year: int) -> Column:
-        full, half = F.col(f"full_{phase}"), F.col(f"half_{phase}")
         return (
-            F.when(F.col("y0") == year, full)
-            .when((F.col("y0") + 1 == year) & F.col("odd"), half)
+            F.when(F.col("y0") == year, full[phase])
+            .when((F.col("y0") + 1 == year) & F.col("odd"), half[phase])
             .alias(f"{phase}_{year}")
         )
 

@@ -8,16 +8,22 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from budgetstar.model import DIMENSIONS, FACT, FACT_COLUMNS, FACT_SCHEMA, YEAR_CUTOFF, Star
+from budgetstar.model import DIMENSIONS, FACT, FACT_COLUMNS, FACT_SCHEMA, YEAR_CUTOFF, Star, cell_columns
+from budgetstar.sources.shared import write_settings
+
+PAGE_ROWS = 200_000  # longer pages compress better
 
 
 def write_layer(
     table: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists"
 ) -> DataFrame:
-    writer = table.write.mode(mode).option("compression", "zstd")
+    """Amounts hardly repeat, so those of wide records are stored without trying a dictionary first."""
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in cell_columns(table.columns)}
+    writer = table.write.mode(mode).options(**{"compression": "zstd", "parquet.page.row.count.limit": PAGE_ROWS, **plain})
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with write_settings(table.sparkSession):
+        writer.parquet(path)
     return read_layer(table.sparkSession, path)
 
 

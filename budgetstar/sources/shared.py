@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,28 @@ def application_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/budgetstar/{spark.sparkContext.applicationId}"
 
 
+# Held while a layer is written. Shuffle files of a write go with its end, not when the driver happens
+# to collect its garbage: the next layer finds their disk free. Methods that the JIT compiler would
+# refuse are split (as in ``session.SETTINGS``, for sessions that were built without them).
+WRITE_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+@contextmanager
+def write_settings(spark: SparkSession, more: Mapping[str, str] | None = None) -> Iterator[None]:
+    settings = {**WRITE_SETTINGS, **(more or {})}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def cut_lineage(table: DataFrame) -> DataFrame:
     """The table written to the shared folder and read back.
 
