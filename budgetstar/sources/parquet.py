@@ -11,18 +11,27 @@ from pyspark.sql.types import StructType
 from budgetstar.model import DIMENSIONS, FACT, FACT_COLUMNS, FACT_SCHEMA, YEAR_CUTOFF, Star, cell_columns
 from budgetstar.sources.shared import write_settings
 
+OPEN_FILES = 16  # of one task, when a layer is split by values
+ROW_GROUP = 32 << 20  # bytes, in such files
 PAGE_ROWS = 200_000  # longer pages compress better
 
 
 def write_layer(
     table: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists"
 ) -> DataFrame:
-    """Amounts hardly repeat, so those of wide records are stored without trying a dictionary first."""
+    """With ``partition_by`` a task keeps a file open per value and writes rows in the order they come.
+
+    Sorting them by value first would put all rows of a task on local disk once more. Up to OPEN_FILES
+    files are open at once, rows of further values are sorted; smaller row groups bound their memory.
+    Amounts hardly repeat, so those of wide records are stored without trying a dictionary first.
+    """
     plain = {f"parquet.enable.dictionary#{c}": "false" for c in cell_columns(table.columns)}
     writer = table.write.mode(mode).options(**{"compression": "zstd", "parquet.page.row.count.limit": PAGE_ROWS, **plain})
+    settings = {}
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    with write_settings(table.sparkSession):
+        writer = writer.partitionBy(*partition_by).option("parquet.block.size", ROW_GROUP)
+        settings = {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}
+    with write_settings(table.sparkSession, settings):
         writer.parquet(path)
     return read_layer(table.sparkSession, path)
 
@@ -38,17 +47,17 @@ def read_layer(spark: SparkSession, path: str, schema: StructType | None = None)
 
 
 def write_star(star: Star, folder: str, mode: str = "errorifexists") -> Star:
-    """Gold tables; the fact is split by year and sorted by phase so both filters skip data.
+    """Gold tables; the fact is split by year, so a year filter skips folders.
 
-    Rows are rebalanced by year before the write: AQE cuts large years into files of the advisory
-    partition size and puts small ones together, so the number of files follows the bytes and not
-    the number of tasks times the number of years.
+    Fact rows, the largest table of all, are written where they are unpivoted: none is moved or
+    sorted. A task holds the records of one split of silver, so the number of files follows the bytes
+    of silver times the number of years. The phases of a record stay together, and with them keys and
+    equal amounts, which takes less disk than an order by phase.
     """
     spark = star.fact.sparkSession
     for dimension in DIMENSIONS:
         write_layer(star.dim(dimension.name), f"{folder}/{dimension.table}", mode=mode)
-    dealt = star.fact.hint("rebalance", "anio").sortWithinPartitions("anio", "fase")
-    write_layer(dealt, f"{folder}/{FACT}", partition_by=["anio"], mode=mode)
+    write_layer(star.fact, f"{folder}/{FACT}", partition_by=["anio"], mode=mode)
     return read_star(spark, folder, star.cutoff)
 
 

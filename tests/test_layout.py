@@ -3,13 +3,15 @@
 import time
 
 import pytest
-from conftest import SMALL
+from conftest import SMALL, money
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
+from budgetstar.model import DIMENSIONS
+from budgetstar.operators.star import build_star, keyed_wide
 from budgetstar.plans.layers import Layers
 from budgetstar.sources import fixture
-from budgetstar.sources.parquet import write_layer
+from budgetstar.sources.parquet import write_layer, write_star
 from budgetstar.sources.shared import WRITE_SETTINGS
 
 
@@ -39,7 +41,7 @@ def test_a_written_layer_leaves_no_shuffle_files(spark, tmp_path):
 
 
 def test_settings_of_a_write_end_with_it(spark, tmp_path, monkeypatch):
-    keys = [*WRITE_SETTINGS]
+    keys = [*WRITE_SETTINGS, "spark.sql.maxConcurrentOutputFileWriters"]
     before, held = {k: spark.conf.get(k, None) for k in keys}, {}
 
     def failing(self, path):
@@ -49,7 +51,7 @@ def test_settings_of_a_write_end_with_it(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "parquet", failing)
     with pytest.raises(RuntimeError, match="no room"):
         write_layer(spark.range(3), str(tmp_path / "layer"), partition_by=["id"])
-    assert held.items() >= WRITE_SETTINGS.items()
+    assert held.items() >= WRITE_SETTINGS.items() and int(held[keys[-1]]) > 0
     assert {k: spark.conf.get(k, None) for k in keys} == before
 
 
@@ -130,3 +132,26 @@ def test_odd_rows_are_the_same_in_slices(spark, odd_source, monkeypatch):
     for other in slices[1:]:
         union = union.unionByName(other)
     assert len(slices) > 1 and same_rows(union, whole)
+
+
+def test_facts_are_written_where_they_are_unpivoted(spark, layers, tmp_path):
+    """Phases of a record stay together in the files, and nothing is moved or left in a shuffle."""
+    before = shuffle_files(spark)
+    keyed = layers.silver.coalesce(2)
+    star = write_star(build_star(keyed), str(tmp_path / "gold"))
+    assert left_behind(spark, before) == 0
+    files = sorted((tmp_path / "gold" / "fact_presupuesto").glob("anio=1998/*.parquet"))
+    assert 1 <= len(files) <= 2  # one for each task at most
+    phases = [r.fase for r in spark.read.parquet(str(files[0])).coalesce(1).collect()]
+    runs = sum(a != b for a, b in zip(phases, phases[1:]))
+    assert runs > len(phases) / 2
+    assert same_rows(star.fact, layers.star.fact)
+
+
+def test_more_years_than_open_files(spark, tmp_path):
+    years = range(2000, 2040)
+    wide = money(spark, [(f"r{i}", *[i + y for y in years]) for i in range(30)], ["key_value", *[f"pim_{y}" for y in years]])
+    codes = {c: F.col("key_value") for d in DIMENSIONS for c in d.columns}
+    star = write_star(build_star(keyed_wide(wide.withColumns(codes)), 2100), str(tmp_path / "gold"))
+    assert {(r.anio, r["count"]) for r in star.fact.groupBy("anio").count().collect()} == {(y, 30) for y in years}
+    assert star.fact.agg(F.sum("monto")).first()[0] == sum(i + y for i in range(30) for y in years)
